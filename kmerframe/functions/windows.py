@@ -6,10 +6,12 @@ it is packed with two bits a symbol, A=0, C=1, G=2, T=3, the first symbol in the
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SYMBOLS = b"ACGT"
 BAD = 4
@@ -37,15 +39,29 @@ class Symbols:
         n = len(self.codes) - w + 1
         if n <= 0:
             return np.zeros(0, np.int64)
-        bad = np.concatenate([[0], np.cumsum(self.codes == BAD)])
-        ends = np.repeat(self.starts[1:], np.diff(self.starts))[:n]
-        return np.flatnonzero((bad[w:] == bad[:n]) & (np.arange(n) + w <= ends))
+        bad = np.zeros(len(self.codes) + 1, np.int32)
+        np.cumsum(self.codes == BAD, out=bad[1:])
+        good = bad[w:] == bad[:n]
+        for end in self.starts[1:-1]:
+            good[max(0, end - w + 1) : end] = False
+        return np.flatnonzero(good)
 
     def rows(self, at: np.ndarray) -> np.ndarray:
         """The row of each place."""
         return np.searchsorted(self.starts, at, side="right") - 1
 
 
+def bounded(batches: Iterator[pa.RecordBatch], column: int, size: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about `size` bytes of text (one row at least), so that a worker's memory has a bound."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        start = 0
+        while start < batch.num_rows:
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + size, side="right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def symbols(column: pa.Array) -> Symbols:
     """The symbols of a string column; null reads as empty. One place per character, also outside ASCII."""
     if isinstance(column, pa.ChunkedArray):

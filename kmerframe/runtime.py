@@ -38,3 +38,12 @@ def cut(df: DataFrame) -> DataFrame:
 def shuffle_width(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, repartitioned if its scan gives fewer than half as many tasks as there are cores to run them.
+
+    For stages that compute much per row on a small number of files; a large input is left where it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df

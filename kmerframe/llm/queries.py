@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kmerframe.llm import frequency
+from kmerframe.llm import components, frequency, spans, tokens
 from kmerframe.runtime import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,22 @@ def _windows(w: int, name: str) -> str:
     )
 
 
+@_query
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = components.strong_links(table(spark, sf_dir, "potential_joins"))
+    return components.components(links, "gd_lo", "gd_hi").withColumnRenamed("id", "graph_id")
+
+
+SQL["p2_found"] = """
+WITH RECURSIVE links AS (
+  SELECT DISTINCT least(gd_lo, gd_hi) AS u, greatest(gd_lo, gd_hi) AS v FROM potential_joins
+  WHERE gd_lo <> gd_hi AND norm_score IS NOT NULL AND NOT isnan(norm_score) AND norm_score >= 200),
+arcs AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+reached AS (SELECT DISTINCT u AS graph_id, u AS other FROM arcs UNION SELECT graph_id, v FROM reached JOIN arcs ON other = u)
+SELECT graph_id, min(other) AS group_id FROM reached GROUP BY graph_id
+"""
+
+
 @_query
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frequency.marked_terms(table(spark, sf_dir, "reads"), table(spark, sf_dir, "kmer_embeddings"))
@@ -44,3 +60,25 @@ SELECT win AS term, CASE WHEN records = 1 THEN 'rare' ELSE 'common' END AS mark
 UNION ALL
 SELECT DISTINCT kmer AS term, 'miscounted' AS mark FROM recorded LEFT JOIN seen ON win = kmer WHERE weight <> coalesce(occurrences, 0)
 """
+
+
+@_query
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.shared_stretches(table(spark, sf_dir, "reads"), table(spark, sf_dir, "ref_seqs"))
+
+
+SQL["p5_found"] = f"""
+WITH {_FOLDED}, {_windows(64, "w64")},
+ref AS (SELECT ref_id, translate(upper(min(sequence)), 'U', 'T') AS s FROM ref_seqs WHERE sequence IS NOT NULL GROUP BY ref_id),
+r64 AS (SELECT DISTINCT substr(s, i + 1, 64) AS win FROM ref, LATERAL (SELECT unnest(range(0, length(s) - 63)) AS i)),
+several AS (SELECT win FROM w64 GROUP BY win HAVING count(DISTINCT seq_id) > 1 UNION SELECT win FROM r64),
+hits AS (SELECT seq_id, off FROM w64 WHERE win IN (SELECT win FROM several)),
+marked AS (SELECT seq_id, off, CASE WHEN off - lag(off) OVER (PARTITION BY seq_id ORDER BY off) <= 64 THEN 0 ELSE 1 END AS new FROM hits),
+runs AS (SELECT seq_id, off, sum(new) OVER (PARTITION BY seq_id ORDER BY off) AS run FROM marked)
+SELECT seq_id, min(off)::INT AS off, (max(off) + 64 - min(off))::INT AS len FROM runs GROUP BY seq_id, run
+"""
+
+
+@_query
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.encoded(table(spark, sf_dir, "documents"))

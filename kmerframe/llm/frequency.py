@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kmerframe.functions.windows import symbols, unpacked
+from kmerframe.functions.windows import bounded, symbols, unpacked
 from kmerframe.llm.reads import once
 from kmerframe.runtime import shuffle_width
 
@@ -23,23 +23,30 @@ from kmerframe.runtime import shuffle_width
 RANGE_SYMBOLS = 6
 RARE_READS = 1
 COMMON_PER = 20  # common: found in at least one of so many reads (5 %)
-RUN_SYMBOLS = 4_000_000
+RUN_SYMBOLS = 2_000_000
 
 COUNTS = pa.schema([("w", pa.int32()), ("span", pa.int32()), ("term", pa.int64()), ("occurrences", pa.int64()), ("records", pa.int64())])
 
 
 def _runs(batches: Iterator[pa.RecordBatch], widths: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
-    def scan(columns: list[pa.Array]) -> Iterator[pa.RecordBatch]:
-        s = symbols(pa.chunked_array(columns))
+    for batch in bounded(batches, 0, RUN_SYMBOLS):
+        s = symbols(batch.column(0))
+        bits = max(1, batch.num_rows.bit_length())
         for w in widths:
             at, term = s.windows(w)
             if not len(at):
                 continue
-            record = s.rows(at)
-            order = np.lexsort((record, term))
-            term, record = term[order], record[order]
+            if 2 * w + bits < 63:  # one number holds term and record
+                pair = (term << bits) | s.rows(at)
+                pair.sort()
+                new = np.concatenate([[True], pair[1:] != pair[:-1]])
+                term = pair >> bits
+            else:
+                record = s.rows(at)
+                order = np.lexsort((record, term))
+                term, record = term[order], record[order]
+                new = np.concatenate([[True], (term[1:] != term[:-1]) | (record[1:] != record[:-1])])
             first = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))
-            new = np.concatenate([[True], (term[1:] != term[:-1]) | (record[1:] != record[:-1])])
             head = term[first]
             yield pa.record_batch(
                 [
@@ -52,20 +59,9 @@ def _runs(batches: Iterator[pa.RecordBatch], widths: tuple[int, ...]) -> Iterato
                 schema=COUNTS,
             )
 
-    held: list[pa.Array] = []
-    size = 0
-    for batch in batches:
-        held.append(batch.column(0))
-        size += batch.column(0).nbytes
-        if size > RUN_SYMBOLS:
-            yield from scan(held)
-            held, size = [], 0
-    if held:
-        yield from scan(held)
-
 
-def _merged(batches: Iterator[pa.RecordBatch], extra: bool) -> Iterator[pa.RecordBatch]:
-    """Sum sorted partial counts by (w, term); with extra, also gather the weights recorded for the term.
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sum sorted partial counts by (w, term), with the extremes of the weights recorded for the term.
 
     The last run of a batch is carried into the next one, so a run may be longer than a batch.
     """
@@ -115,7 +111,7 @@ def term_counts(reads: DataFrame, widths: tuple[int, ...], recorded: DataFrame |
     return (
         partial.repartition(width, "w", "span")
         .sortWithinPartitions("w", "term")
-        .mapInArrow(lambda b: _merged(b, True), "w int, term long, occurrences long, records long, low long, high long")
+        .mapInArrow(lambda b: _merged(b), "w int, term long, occurrences long, records long, low long, high long")
     )
 
 

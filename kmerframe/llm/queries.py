@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kmerframe.llm import components, frequency, spans, tokens
+from kmerframe.llm import components, frequency, parity, spans, tokens
 from kmerframe.runtime import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +45,34 @@ SELECT graph_id, min(other) AS group_id FROM reached GROUP BY graph_id
 """
 
 
+@_query
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity.near_pairs(table(spark, sf_dir, "reads"))
+
+
+@_query
+def p3_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity.near_links(table(spark, sf_dir, "reads"))
+
+
+_NEAR = f"""
+{_FOLDED}, {_windows(12, "w12")},
+toks AS (SELECT DISTINCT seq_id, win FROM w12),
+sizes AS (SELECT seq_id, count(*) AS n FROM toks GROUP BY seq_id),
+met AS (SELECT x.seq_id AS a, y.seq_id AS b, count(*) AS k FROM toks x JOIN toks y ON x.win = y.win AND x.seq_id < y.seq_id GROUP BY ALL),
+near AS (SELECT a, b, k, x.n AS p, y.n AS q FROM met JOIN sizes x ON a = x.seq_id JOIN sizes y ON b = y.seq_id WHERE k * 10 >= (x.n + y.n - k) * 7)
+"""
+
+SQL["p3_found"] = f"WITH {_NEAR} SELECT a AS seq_lo, b AS seq_hi FROM near"
+SQL["p3_links"] = f"""
+WITH {_NEAR},
+same AS (SELECT a, b FROM near WHERE k = p AND k = q),
+classes AS (SELECT seq_id, coalesce((SELECT min(a) FROM same WHERE b = sizes.seq_id), seq_id) AS class_id FROM sizes),
+ends AS (SELECT DISTINCT x.class_id AS c, y.class_id AS d FROM (SELECT a, b FROM near UNION ALL SELECT b, a FROM near) JOIN classes x ON a = x.seq_id JOIN classes y ON b = y.seq_id WHERE x.class_id <> y.class_id)
+SELECT seq_id, class_id, (SELECT count(*) FROM ends WHERE c = class_id) AS links FROM classes
+"""
+
+
 @_query
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frequency.marked_terms(table(spark, sf_dir, "reads"), table(spark, sf_dir, "kmer_embeddings"))

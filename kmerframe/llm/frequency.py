@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kmerframe.functions.windows import bounded, symbols, unpacked
+from kmerframe.functions.windows import bounded, mixed, symbols, unpacked
 from kmerframe.llm.reads import once
 from kmerframe.runtime import shuffle_width
 
@@ -25,15 +25,40 @@ RARE_READS = 1
 COMMON_PER = 20  # common: found in at least one of so many reads (5 %)
 RUN_SYMBOLS = 2_000_000
 
+#: Bits of the sieve that holds the recorded terms; its size is the same for any number of them.
+SIEVE_BITS = 25
+
 COUNTS = pa.schema([("w", pa.int32()), ("span", pa.int32()), ("term", pa.int64()), ("occurrences", pa.int64()), ("records", pa.int64())])
 
 
-def _runs(batches: Iterator[pa.RecordBatch], widths: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
+def _sieve_places(term: np.ndarray) -> np.ndarray:
+    return (mixed(term, 21) >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)
+
+
+def _sieve_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        place = _sieve_places(batch.column(0).to_numpy())
+        yield pa.record_batch([pa.array((place >> 6).astype(np.int32)), pa.array(np.int64(1) << (place & 63))], names=["word", "bits"])
+
+
+def sieve_of(terms: DataFrame) -> np.ndarray:
+    """A bit per hash value of the packed terms of a one-column table. 4 MB at most reach the driver, however many terms."""
+    words = terms.mapInArrow(_sieve_rows, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    sieve = np.zeros(1 << (SIEVE_BITS - 6), np.int64)
+    sieve[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return sieve
+
+
+def _runs(batches: Iterator[pa.RecordBatch], widths: tuple[int, ...], sieves: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
     for batch in bounded(batches, 0, RUN_SYMBOLS):
         s = symbols(batch.column(0))
         bits = max(1, batch.num_rows.bit_length())
         for w in widths:
             at, term = s.windows(w)
+            if w in sieves:
+                place = _sieve_places(term)
+                keep = (sieves[w][place >> 6] >> (place & 63)) & 1 == 1
+                at, term = at[keep], term[keep]
             if not len(at):
                 continue
             if 2 * w + bits < 63:  # one number holds term and record
@@ -97,14 +122,16 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of(carried)
 
 
-def term_counts(reads: DataFrame, widths: tuple[int, ...], recorded: DataFrame | None = None) -> DataFrame:
+def term_counts(reads: DataFrame, widths: tuple[int, ...], recorded: DataFrame | None = None, sieves: dict[int, np.ndarray] | None = None) -> DataFrame:
     """(w, term, occurrences, records, low, high) of every window of each width in reads(seq_id, sequence).
 
     term is packed. recorded(w, span, term, weight) adds terms with a recorded weight; low and high are the
-    smallest and largest weight of a term, the extremes of int64 in reverse where it has none. An empty
+    smallest and largest weight of a term, the extremes of int64 in reverse where it has none. A width with a
+    sieve counts only terms that pass it: those it was made of, with their exact counts, and some others. An empty
     table gives no rows. Any other columns of reads are ignored.
     """
-    partial = once(reads).select("sequence").mapInArrow(lambda b: _runs(b, widths), "w int, span int, term long, occurrences long, records long").withColumn("weight", F.lit(None).cast("long"))
+    held = reads.sparkSession.sparkContext.broadcast(sieves or {})
+    partial = once(reads).select("sequence").mapInArrow(lambda b: _runs(b, widths, held.value), "w int, span int, term long, occurrences long, records long").withColumn("weight", F.lit(None).cast("long"))
     if recorded is not None:
         partial = partial.unionByName(recorded.select("w", "span", "term", F.lit(0).cast("long").alias("occurrences"), F.lit(0).cast("long").alias("records"), "weight"))
     width = shuffle_width(reads.sparkSession)
@@ -144,7 +171,7 @@ def marked_terms(reads: DataFrame, embeddings: DataFrame, width: int = 10, kmer_
         F.lit(kmer_width).alias("w"), _packed_column(F.substring("kmer", 1, RANGE_SYMBOLS), RANGE_SYMBOLS).cast("int").alias("span"),
         _packed_column(F.col("kmer"), kmer_width).alias("term"), "weight",
     )
-    counts = term_counts(reads, (width, kmer_width), recorded)
+    counts = term_counts(reads, (width, kmer_width), recorded, {kmer_width: sieve_of(recorded.select("term"))})
     total = reads.where(F.col("seq_id").isNotNull() & F.col("sequence").isNotNull()).agg(F.count_distinct("seq_id").alias("total"))
     wrong = (F.col("low") <= F.col("high")) & ((F.col("low") != F.col("occurrences")) | (F.col("high") != F.col("occurrences")))
     mark = (

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kmerframe.llm import components, frequency, parity, spans, tokens
+from kmerframe.llm import components, frequency, neighbours, parity, spans, tokens
 from kmerframe.runtime import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,11 @@ def _windows(w: int, name: str) -> str:
     )
 
 
+@_query
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_pairs(table(spark, sf_dir, "kmer_embeddings"), table(spark, sf_dir, "assembler_config"))
+
+
 @_query
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = components.strong_links(table(spark, sf_dir, "potential_joins"))

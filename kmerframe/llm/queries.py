@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kmerframe.llm import components, frequency, neighbours, parity, spans, tokens
+from kmerframe.llm import components, frequency, mixing, neighbours, parity, residue, spans, tokens
 from kmerframe.runtime import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,18 @@ SELECT seq_id, min(off)::INT AS off, (max(off) + 64 - min(off))::INT AS len FROM
 @_query
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encoded(table(spark, sf_dir, "documents"))
+
+
+@_query
+def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+@_query
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+
+
+@_query
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue(table(spark, sf_dir, "documents"))

@@ -206,7 +206,7 @@ def _count_tokens(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.R
     enc = encoding(path)
     for batch in batches:
         texts = batch.column(batch.num_columns - 1)
-        sizes = [len(enc._core_bpe.encode_to_tiktoken_buffer(x, set())) // 4 if x else 0 for x in texts.to_pylist()]
+        sizes = [len(_ids(enc, x)) if x else 0 for x in texts.to_pylist()]
         yield pa.record_batch([*batch.columns[:-1], pa.array(sizes, pa.int64())], names=[*batch.schema.names[:-1], "tokens"])
 
 

@@ -69,6 +69,6 @@ def join_path_pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = _joins(spark, sf_dir).where(F.col("norm_score") >= THRESHOLD).select("gd_lo", "gd_hi")
     both = (
         pairs.join(paths.toDF("gd_lo", "path_lo", "ta"), "gd_lo").join(paths.toDF("gd_hi", "path_hi", "tb"), "gd_hi")
-        .repartition("gd_lo", "gd_hi").select("gd_lo", "path_lo", "gd_hi", "path_hi", "ta", "tb")
+        .select("gd_lo", "path_lo", "gd_hi", "path_hi", "ta", "tb")
     )
     return with_scores(both, "ta", "tb").select("gd_lo", "path_lo", "gd_hi", "path_hi", "score")

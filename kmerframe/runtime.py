@@ -40,10 +40,25 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def scan_tasks(df: DataFrame) -> int:
+    """Number of tasks that read a table; for tables as they are read, not for what a shuffle gives."""
+    return df._jdf.queryExecution().toRdd().getNumPartitions()
+
+
+def fanned(df: DataFrame, source: DataFrame, *columns: str) -> DataFrame:
+    """df, shuffled once more by columns to one task per core if its source is read by fewer tasks than there are cores.
+
+    For stages that compute much per byte: adaptive execution merges the tasks of a small shuffle by bytes alone. Where the
+    source is large the shuffle that df comes from has enough tasks, and df is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *columns) if scan_tasks(source) < cores else df
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df, repartitioned if its scan gives fewer than half as many tasks as there are cores to run them.
 
     For stages that compute much per row on a small number of files; a large input is left where it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 2 * df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    return df.repartition(cores) if 2 * scan_tasks(df) < cores else df

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kmerframe.functions.sequences import kmers
+#: Offsets are below this number.
+_PLACES = 1 << 31
 
 
 def distinct_records(records: DataFrame) -> DataFrame:
@@ -36,13 +37,21 @@ def numbered(df: DataFrame, by: list[str], name: str) -> DataFrame:
 
 
 def windows(reads: DataFrame, k: int) -> DataFrame:
-    """(seq_id, off, kmer) of all windows of k symbols."""
-    return reads.select("seq_id", F.posexplode(kmers(F.col("sequence"), k)).alias("off", "kmer"))
+    """(seq_id, off, kmer) of all windows of k symbols. Places are exploded and texts cut from them, so that all of it is one
+    generated loop."""
+    starts = F.explode(F.sequence(F.lit(0), F.length("sequence") - k)).alias("off")
+    return reads.where(F.length("sequence") >= k).select("seq_id", "sequence", starts).select("seq_id", "off", F.substr("sequence", F.col("off") + 1, F.lit(k)).alias("kmer"))
 
 
 def representatives(places: DataFrame) -> DataFrame:
-    """(kmer, seq_id, off, multiplicity): each k-mer with its first place and its number of places."""
-    return places.groupBy("kmer").agg(F.min(F.struct("seq_id", "off")).alias("repr"), F.count("*").alias("multiplicity")).select("kmer", "repr.seq_id", "repr.off", "multiplicity")
+    """(kmer, seq_id, off, multiplicity): each k-mer with its first place and its number of places.
+
+    The place is one decimal number, which a hash aggregate can hold, where a struct would need a sort.
+    """
+    place = F.col("seq_id").cast("decimal(20,0)") * F.lit(_PLACES).cast("decimal(11,0)") + F.col("off").cast("decimal(11,0)")
+    first = places.groupBy("kmer").agg(F.min(place).alias("first"), F.count("*").alias("multiplicity"))
+    off = F.pmod("first", F.lit(_PLACES).cast("decimal(11,0)"))
+    return first.withColumn("off", off.cast("int")).select("kmer", F.expr(f"cast((first - off) div {_PLACES} as long)").alias("seq_id"), "off", "multiplicity")
 
 
 def text_at(places: DataFrame, reads: DataFrame, k: int) -> DataFrame:

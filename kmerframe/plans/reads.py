@@ -9,7 +9,7 @@ from kmerframe.functions import sequences as S
 from kmerframe.operators import reads as R
 from kmerframe.plans.registry import query
 from kmerframe.plans.sql import ONCE
-from kmerframe.runtime import ensure_checkpoint_dir, table
+from kmerframe.runtime import ensure_checkpoint_dir, fanned, table
 from kmerframe.sources.fasta import read_fasta, write_fasta
 
 K = 16
@@ -17,7 +17,8 @@ K = 16
 
 def reads_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(seq_id, sequence) of the reads, each once."""
-    return table(spark, sf_dir, "reads").where("seq_id IS NOT NULL AND sequence IS NOT NULL").groupBy("seq_id").agg(F.min("sequence").alias("sequence"))
+    reads = table(spark, sf_dir, "reads")
+    return fanned(reads.where("seq_id IS NOT NULL AND sequence IS NOT NULL").groupBy("seq_id").agg(F.min("sequence").alias("sequence")), reads, "seq_id")
 
 
 RECORDS = "recs AS (SELECT path, ordinal, arg_max(data, loaded_at) AS data, max(loaded_at) AS loaded_at FROM fasta_records GROUP BY path, ordinal)"

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,7 +53,8 @@ def fanned(df: DataFrame, source: DataFrame, *columns: str) -> DataFrame:
     source is large the shuffle that df comes from has enough tasks, and df is returned as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *columns) if scan_tasks(source) < cores else df
+    # by a hash of the columns: a shuffle by the columns themselves would be dropped after a group by them
+    return df.repartition(cores, F.xxhash64(*columns)) if scan_tasks(source) < cores else df
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kmerframe.runtime import cut, shuffle_width
+from kmerframe.runtime import cut, fanned, shuffle_width
 
 DIM = 64
 #: Rows per configuration, at most about, that the centroids and codebooks are fitted on.
@@ -180,7 +180,7 @@ def nearest(vectors: DataFrame, configs: DataFrame) -> DataFrame:
     which vectors are compared at all; those reported are exact.
     """
     spark = vectors.sparkSession
-    rows = cut(usable(vectors, configs))
+    rows = cut(fanned(usable(vectors, configs), vectors, "vec_id"))
     # classes of equal vectors: all their members but the first are joined back at the end
     mark = rows.select("config_id", "k", "vec_id", F.xxhash64("v").alias("h1"), F.hash("v").alias("h2"))
     classes = mark.groupBy("config_id", "h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")).where("n > 1")

@@ -9,7 +9,7 @@ from dataclasses import dataclass, fields
 
 @dataclass(frozen=True)
 class AssemblerConfig:
-    """Defaults are those of the system that this one stands in for; unknown keys of from_dict raise."""
+    """Settings of an assembly; without a network file k-mers are embedded by their spectrum. Unknown keys of from_dict raise."""
 
     max_ntds_per_edge: int = 4096
     kmer_len: int = 64
@@ -17,7 +17,7 @@ class AssemblerConfig:
     work_queue_low_watermark: int = 4
     work_queue_high_watermark: int = 12
     knn_top_k: int = 40
-    seqemb_onnx_path: str | None = "embnet_tf2onnx_v13.onnx"
+    seqemb_onnx_path: str | None = None
     subgraph_join_threshold: float = 200.0
 
     @classmethod

@@ -2,17 +2,44 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kmerframe.functions.alignment import simple_matrix, with_scores
+from kmerframe.functions.alignment import concordance, simple_matrix, with_scores
 from kmerframe.functions.sequences import cosine, dna_of_key, mutated
 from kmerframe.operators.reads import numbered
+from kmerframe.runtime import shuffle_width
 
 #: Labels come from match 2, mismatch -3, N 0, gaps of 5 and 2.
 LABEL_MATRIX, LABEL_OPENED, LABEL_EXTENDED = simple_matrix(2, -3), 5, 2
 
 
+def with_concordance(pairs: DataFrame, a: str, b: str, k: int) -> DataFrame:
+    """pairs with `concordance`: equal symbols at the aligned places of a best local alignment, per k. With traceback, so for short texts."""
+    spark = pairs.sparkSession
+    rows = pairs.repartition(max(shuffle_width(spark), spark.sparkContext.defaultParallelism), *[c for c in pairs.columns if c not in (a, b)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (a, b))
+            yield pa.record_batch([*batch.columns, pa.array([concordance(p or "", q or "", k) for p, q in zip(x, y, strict=True)], pa.float64())], names=[*batch.schema.names, "concordance"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInArrow(run, fields + ", concordance double")
+
+
+def batches_of(df: DataFrame, size: int, shuffled: bool = False, seed: int = 0) -> DataFrame:
+    """df with `batch`: rows in batches of `size` for a loader, in the order of partitions or in a seeded order. Batches never
+    reach over partitions, so the last one of each partition may be smaller."""
+    rows = df.sortWithinPartitions(F.xxhash64(F.lit(seed), *df.columns)) if shuffled else df
+    place = F.monotonically_increasing_id()
+    part, at = F.shiftright(place, 33), place.bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.withColumn("batch", F.struct(part.cast("int").alias("part"), F.floor(at / size).cast("long").alias("number")))
+
+
 def siamese_pairs(keys: DataFrame, key: str) -> DataFrame:
     """(pair_id, a, b, score_ab): two independent sequences for each key, and their alignment score."""
     pairs = keys.select(F.col(key).alias("pair_id")).select("pair_id", dna_of_key(F.col("pair_id")).alias("a"), dna_of_key(F.concat(F.lit("b"), F.col("pair_id").cast("string"))).alias("b"))

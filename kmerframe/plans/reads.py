@@ -83,6 +83,17 @@ def one_hot_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads.select("seq_id", F.size(F.filter("p", lambda x: x >= 0)).alias("known"), (F.size("p") * 16).alias("cells"), S.one_hot_decoded(F.col("code")).alias("decoded"))
 
 
+@query("one_hot_transposed", """
+WITH k AS (SELECT DISTINCT kmer FROM kmer_embeddings WHERE kmer IS NOT NULL)
+SELECT kmer, i AS symbol, string_agg(CASE WHEN substr(kmer, j + 1, 1) = substr('ACGT', i + 1, 1) THEN '1' ELSE '0' END, '' ORDER BY j) AS places FROM k, range(4) a(i), range(16) b(j) GROUP BY kmer, i
+""")
+def one_hot_transposed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each distinct k-mer of 16 symbols and each base, the places where it stands: rows of the transposed one-hot code."""
+    kmers = table(spark, sf_dir, "kmer_embeddings").select("kmer").where("length(kmer) = 16").distinct().withColumn("code", S.one_hot(F.col("kmer")))
+    turned = kmers.select("kmer", S.transposed(F.col("code"), 16, 16).alias("t"))
+    return turned.select("kmer", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("symbol"), "t").select("kmer", "symbol", F.array_join(F.slice("t", (F.col("symbol") * 16 + 1).cast("int"), 16).cast("array<string>"), "").alias("places"))
+
+
 @query("symbol_composition", f"""
 WITH {ONCE}, s AS (SELECT unnest(string_split(sequence, '')) AS symbol FROM once)
 SELECT symbol, count(*) AS n FROM s WHERE symbol <> '' GROUP BY symbol

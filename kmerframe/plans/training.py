@@ -24,6 +24,14 @@ def training_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.min_max_scaled(pairs.withColumn("scaled", F.col("score_ab").cast("double")), "scaled").withColumn("scaled", F.round("scaled", 6))
 
 
+@query("alignment_concordance")
+def alignment_concordance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of equal symbols at the aligned places of each k-mer and the one of the next id."""
+    k = table(spark, sf_dir, "kmer_embeddings").where("vec_id IS NOT NULL AND kmer IS NOT NULL").groupBy("vec_id").agg(F.min("kmer").alias("a"))
+    pairs = k.join(k.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b")), "vec_id")
+    return T.with_concordance(pairs, "a", "b", 16).select("vec_id", "concordance")
+
+
 @query("training_triplets")
 def training_triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.triplets(table(spark, sf_dir, "orders").select("o_orderkey").distinct(), "o_orderkey")

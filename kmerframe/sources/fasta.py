@@ -20,7 +20,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, SimpleDataSourceStreamReader, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 SCHEMA = "path string, ordinal long, name string, description string, data string"
 SPLIT_BYTES = 64 << 20
@@ -95,32 +95,41 @@ class _Reader(DataSourceReader):
         self.split = int(options.get("splitbytes", options.get("splitBytes", SPLIT_BYTES)))
 
     def partitions(self) -> list[Split]:
-        return [Split(p, s, min(size, s + self.split)) for p in files_of(self.path) for size in [os.path.getsize(p)] for s in range(0, size, self.split)] or [Split("", 0, 0)]
+        return self.splits(files_of(self.path))
+
+    def splits(self, files: list[str]) -> list[Split]:
+        return [Split(p, s, min(size, s + self.split)) for p in files for size in [os.path.getsize(p)] for s in range(0, size, self.split)] or [Split("", 0, 0)]
 
     def read(self, partition: Split) -> Iterator[tuple]:
         if partition.path:
             yield from records(partition.path, partition.start, partition.end, self.permissive)
 
 
-class _Stream(SimpleDataSourceStreamReader):
-    """A folder as a stream: each batch takes the files that are new since the last one, by name."""
+class _Stream(DataSourceStreamReader):
+    """A folder as a stream: each batch takes the files that came, by time of change and name, after those of the last one.
+
+    The driver lists names only; files are read in splits by the executors. A file must come whole, as by a rename.
+    """
 
     def __init__(self, options: dict):
-        self.path, self.permissive = options["path"], options.get("mode", "FAILFAST").upper() == "PERMISSIVE"
+        self.reader = _Reader(options)
+
+    def _known(self) -> list[tuple[int, str]]:
+        return sorted((os.stat(p).st_mtime_ns, p) for p in files_of(self.reader.path))
 
     def initialOffset(self) -> dict:
-        return {"after": ""}
+        return {"time": "0", "path": ""}
 
-    def _batch(self, after: str, until: str | None) -> tuple[list[tuple], str]:
-        new = [p for p in files_of(self.path) if p > after and (until is None or p <= until)]
-        return [r for p in new for r in records(p, permissive=self.permissive)], new[-1] if new else after
+    def latestOffset(self) -> dict:
+        time, path = max(self._known(), default=(0, ""))
+        return {"time": str(time), "path": path}
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        rows, last = self._batch(start["after"], None)
-        return iter(rows), {"after": last}
+    def partitions(self, start: dict, end: dict) -> list[Split]:
+        low, high = (int(start["time"]), start["path"]), (int(end["time"]), end["path"])
+        return self.reader.splits([p for t, p in self._known() if low < (t, p) <= high])
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return iter(self._batch(start["after"], end["after"])[0])
+    def read(self, partition: Split) -> Iterator[tuple]:
+        return self.reader.read(partition)
 
     def commit(self, end: dict) -> None:
         pass
@@ -194,7 +203,7 @@ class FastaDataSource(DataSource):
     def reader(self, schema) -> _Reader:
         return _Reader(dict(self.options))
 
-    def simpleStreamReader(self, schema) -> _Stream:
+    def streamReader(self, schema) -> _Stream:
         return _Stream(dict(self.options))
 
     def writer(self, schema, overwrite: bool) -> _Writer:

@@ -183,3 +183,8 @@ def test_training(spark):
     assert (m.triples, m.matches, m.errors) == (4, 1, 1) and m.mean_error == pytest.approx(0.2)
     h = {r.bin: r.n for r in training.histogram(spark.createDataFrame([(0.0,), (0.5,), (1.0,), (2.0,)], "v double"), F.col("v"), 0.0, 1.0, 4).collect()}
     assert h == {1: 1, 3: 1, 4: 1}
+    pairs = spark.createDataFrame([(1, "ACGTTACGGT", "ACGTACGGT"), (2, None, "A")], "id int, a string, b string")
+    assert {r.id: r.concordance for r in training.with_concordance(pairs, "a", "b", 10).collect()} == {1: 0.9, 2: 0.0}
+    for shuffled in (False, True):
+        sizes = training.batches_of(spark.range(100).repartition(2), 16, shuffled).groupBy("batch").count().collect()
+        assert sum(r["count"] for r in sizes) == 100 and max(r["count"] for r in sizes) == 16

@@ -18,13 +18,15 @@ def test_counts_follow_new_rows(spark, tmp_path):
 
 
 def test_fasta_stream(spark, tmp_path):
-    folder = str(tmp_path / "fasta")
-    write_fasta(spark.createDataFrame([("a", None, "ACGT"), ("b", None, "GG")], "name string, description string, data string").coalesce(1), folder)
-    q = K.fasta_stream(spark, folder).writeStream.format("memory").queryName("records").start()
+    folder, schema = str(tmp_path / "fasta"), "name string, description string, data string"
+    write_fasta(spark.createDataFrame([("a", None, "ACGT"), ("b", None, "GG")], schema).coalesce(1), folder)
+    q = K.fasta_stream(spark, folder).writeStream.format("memory").queryName("records").option("checkpointLocation", str(tmp_path / "c")).start()
     q.processAllAvailable()
-    write_fasta(spark.createDataFrame([("c", None, "TT")], "name string, description string, data string").coalesce(1), folder)
-    q.stop()
     assert {r.name for r in spark.table("records").collect()} == {"a", "b"}
+    write_fasta(spark.createDataFrame([("c", None, "TT")], schema).coalesce(1), folder)
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(r.name for r in spark.table("records").collect()) == ["a", "b", "c"]
 
 
 def test_event_time(spark, tmp_path):

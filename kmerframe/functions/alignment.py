@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from kmerframe.runtime import shuffle_width
+from kmerframe.runtime import over_all_cores
 
 #: Order of the symbols in the matrix below; other symbols count as N, U as T.
 MATRIX_SYMBOLS = "ACGTRYSWKMBDHVN"
@@ -152,7 +152,6 @@ def with_scores(pairs: DataFrame, a: str, b: str, matrix: np.ndarray = NUC44, op
     Send only ids and the two texts, and make pairs distinct before: a Python stage is a fence for the optimiser.
     """
     rest = [c for c in pairs.columns if c not in (a, b)]
-    # a fixed number of tasks: the work is far larger than the bytes by which adaptive execution would merge tasks
-    rows = pairs.select(a, b, *rest).repartition(max(shuffle_width(pairs.sparkSession), pairs.sparkSession.sparkContext.defaultParallelism), *(rest or [a, b]))
+    rows = over_all_cores(pairs.select(a, b, *rest), *(rest or [a, b]))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     return rows.mapInArrow(lambda x: _scored(x, matrix, opened, extended), fields + ", score long")

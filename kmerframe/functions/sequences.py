@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +20,11 @@ NUCLEOTIDES = {
 }
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once: as the element of an array, not again for each turn of the loops in body."""
+    return F.transform(F.array(value), body)[0]
+
+
 def kmers(sequence: Column, k: int) -> Column:
     """All windows of k symbols with stride 1, as an array; empty for a shorter or null sequence."""
     starts = F.sequence(F.lit(1), F.length(sequence) - k + 1)
@@ -50,16 +57,19 @@ def one_hot_decoded(code: Column, alphabet: str = ONE_HOT_DNA) -> Column:
     """The text of a flat one-hot code; gaps come back as `-` and all-zero rows as `?`."""
     letters = F.array(*map(F.lit, alphabet + "-"))
 
-    def letter(i: Column) -> Column:
-        at = F.array_position(F.slice(code, i * ALPHABET + 1, ALPHABET), 1)
-        return F.when(at > 0, F.element_at(letters, at.cast("int"))).otherwise("?")
+    def decoded(rows: Column) -> Column:
+        def letter(i: Column) -> Column:
+            at = F.array_position(F.slice(rows, i * ALPHABET + 1, ALPHABET), 1)
+            return F.when(at > 0, F.element_at(letters, at.cast("int"))).otherwise("?")
+
+        return F.when(F.size(rows) > 0, F.array_join(F.transform(F.sequence(F.lit(0), (F.size(rows) / ALPHABET).cast("int") - 1), letter), "")).otherwise("")
 
-    return F.when(F.size(code) > 0, F.array_join(F.transform(F.sequence(F.lit(0), (F.size(code) / ALPHABET).cast("int") - 1), letter), "")).otherwise("")
+    return _bound(code, decoded)
 
 
 def transposed(code: Column, rows: int, columns: int) -> Column:
     """A flat row-major matrix with rows and columns exchanged."""
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(columns - 1)), lambda c: F.transform(F.sequence(F.lit(0), F.lit(rows - 1)), lambda r: F.element_at(code, (r * columns + c + 1).cast("int")))))
+    return _bound(code, lambda m: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(columns - 1)), lambda c: F.transform(F.sequence(F.lit(0), F.lit(rows - 1)), lambda r: F.element_at(m, (r * columns + c + 1).cast("int"))))))
 
 
 def symbol_name(symbol: Column) -> Column:
@@ -102,8 +112,7 @@ def dot(a: Column, b: Column) -> Column:
 def normalised(vector: Column) -> Column:
     """x / (|x| + 1e-30); a zero vector stays zero."""
     size = F.sqrt(dot(vector, vector)) + F.lit(1e-30)
-    # bound once, as a one-element array, instead of once for each element
-    return F.transform(F.array(size), lambda s: F.transform(vector, lambda x: x.cast("double") / s))[0]
+    return _bound(size, lambda s: F.transform(vector, lambda x: x.cast("double") / s))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kmerframe.functions.sequences import kmers, normalised
+from kmerframe.runtime import over_all_cores
 
 
 class Embedder(Protocol):
@@ -32,7 +33,7 @@ class SpectrumEmbedder:
         self.grams = ["".join(x) for x in product("ACGT", repeat=q)]
 
     def __call__(self, distinct_kmers: DataFrame) -> DataFrame:
-        rows = distinct_kmers.select("kmer", kmers(F.col("kmer"), self.q).alias("grams"))
+        rows = over_all_cores(distinct_kmers, "kmer").select("kmer", kmers(F.col("kmer"), self.q).alias("grams"))
         rows = rows.select("kmer", F.array(*[F.size(F.filter("grams", _equals(x))).cast("double") for x in self.grams]).alias("counts"))
         return rows.select("kmer", normalised(F.col("counts")).cast("array<float>").alias("embedding"))
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from kmerframe.functions.alignment import concordance, simple_matrix, with_scores
 from kmerframe.functions.sequences import cosine, dna_of_key, mutated
 from kmerframe.operators.reads import numbered
-from kmerframe.runtime import shuffle_width
+from kmerframe.runtime import over_all_cores
 
 #: Labels come from match 2, mismatch -3, N 0, gaps of 5 and 2.
 LABEL_MATRIX, LABEL_OPENED, LABEL_EXTENDED = simple_matrix(2, -3), 5, 2
@@ -19,8 +19,7 @@ LABEL_MATRIX, LABEL_OPENED, LABEL_EXTENDED = simple_matrix(2, -3), 5, 2
 
 def with_concordance(pairs: DataFrame, a: str, b: str, k: int) -> DataFrame:
     """pairs with `concordance`: equal symbols at the aligned places of a best local alignment, per k. With traceback, so for short texts."""
-    spark = pairs.sparkSession
-    rows = pairs.repartition(max(shuffle_width(spark), spark.sparkContext.defaultParallelism), *[c for c in pairs.columns if c not in (a, b)])
+    rows = over_all_cores(pairs, *([c for c in pairs.columns if c not in (a, b)] or [a, b]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -64,3 +64,10 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if 2 * scan_tasks(df) < cores else df
+
+
+def over_all_cores(df: DataFrame, *columns: str) -> DataFrame:
+    """df in a fixed number of tasks, at least one per core: for work that is far larger than the bytes by which adaptive execution
+    would merge tasks."""
+    spark = df.sparkSession
+    return df.repartition(max(shuffle_width(spark), spark.sparkContext.defaultParallelism), F.xxhash64(*columns))

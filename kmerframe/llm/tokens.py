@@ -55,8 +55,11 @@ def _splitter():
 
 
 def _ids(enc, text: str) -> np.ndarray:
-    """The ids of a text; the buffer form spares a Python integer per token."""
-    return np.frombuffer(enc._core_bpe.encode_to_tiktoken_buffer(text, set()), np.uint32).astype(np.int32) if text else np.zeros(0, np.int32)
+    """The ids of a text; the buffer form, where the library has it, spares a Python integer per token."""
+    if not text:
+        return np.zeros(0, np.int32)
+    buffered = getattr(getattr(enc, "_core_bpe", None), "encode_to_tiktoken_buffer", None)
+    return np.frombuffer(buffered(text, set()), np.uint32).astype(np.int32) if buffered else np.array(enc.encode_ordinary(text), np.int32)
 
 
 def _list_array(parts: list[np.ndarray]) -> pa.Array:

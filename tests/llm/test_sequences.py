@@ -247,3 +247,17 @@ def test_neighbours(spark, copies):
     ranks = neighbours.nearest(table, configs).groupBy("vec_id").count().collect()
     assert max(r["count"] for r in ranks) == 5
     assert neighbours.nearest_pairs(table.limit(0), configs).count() == 0
+
+
+def test_long_reads(spark):
+    """Reads far longer than a batch, alike but for edits and a moved piece."""
+    rng = random.Random(9)
+    s = "".join(rng.choices("ACGT", k=150_000))
+    t = s[70_000:] + "N" + s[:70_000]
+    rows = [(1, s), (2, t), (3, "".join(rng.choices("ACGT", k=120_000)))]
+    table = reads_table(spark, rows)
+    assert [tuple(r) for r in parity.near_pairs(table).collect()] == [(1, 2)]
+    got = {(r.seq_id, r.off, r.len) for r in spans.shared_stretches(table, spark.createDataFrame([], "ref_id long, sequence string")).collect()}
+    assert got == {(1, 0, 150_000), (2, 0, 80_000), (2, 80_001, 70_000)}
+    counts = frequency.term_counts(table, (10,)).agg({"occurrences": "sum", "records": "max"}).first()
+    assert counts["sum(occurrences)"] == sum(len(windows(x, 10)) for _, x in rows) and counts["max(records)"] == 3

@@ -66,10 +66,15 @@ def usable_joins(joins: DataFrame) -> DataFrame:
     )
 
 
+def both_ends(joins: DataFrame) -> DataFrame:
+    """(graph_id, partner, norm_score): each pair from either side, from one pass over joins."""
+    sides = F.array(F.struct(F.col("gd_lo").alias("graph_id"), F.col("gd_hi").alias("partner")), F.struct(F.col("gd_hi").alias("graph_id"), F.col("gd_lo").alias("partner")))
+    return joins.select("norm_score", F.inline(sides)).select("graph_id", "partner", "norm_score")
+
+
 def ranked_partners(joins: DataFrame, threshold: float, top: int) -> DataFrame:
     """(graph_id, partner, norm_score, rank): the best partners of each graph, of either side, over a threshold."""
-    kept = joins.where(F.col("norm_score") >= threshold)
-    both = kept.select(F.col("gd_lo").alias("graph_id"), F.col("gd_hi").alias("partner"), "norm_score").unionByName(kept.select(F.col("gd_hi").alias("graph_id"), F.col("gd_lo").alias("partner"), "norm_score"))
+    both = both_ends(joins.where(F.col("norm_score") >= threshold))
     return both.withColumn("rank", F.row_number().over(Window.partitionBy("graph_id").orderBy(F.desc("norm_score"), "partner"))).where(F.col("rank") <= top)
 
 

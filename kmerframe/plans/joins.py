@@ -50,8 +50,7 @@ WITH {PAIRS}, ends AS (SELECT gd_lo AS graph_id, norm_score FROM pairs UNION ALL
 SELECT graph_id, count(*) AS pairs, round(min(norm_score), 4) AS low, round(max(norm_score), 4) AS high, sum(round(norm_score * 10000)::BIGINT)::BIGINT AS points FROM ends GROUP BY graph_id
 """)
 def graph_pair_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    joins = _joins(spark, sf_dir)
-    ends = joins.select(F.col("gd_lo").alias("graph_id"), "norm_score").unionByName(joins.select(F.col("gd_hi").alias("graph_id"), "norm_score"))
+    ends = scoring.both_ends(_joins(spark, sf_dir))
     value = lambda f: F.round(f("norm_score"), 4)
     return ends.groupBy("graph_id").agg(F.count("*").alias("pairs"), value(F.min).alias("low"), value(F.max).alias("high"), F.sum(F.round(F.col("norm_score") * 10000).cast("long")).alias("points"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kmerframe.functions import sequences as S
 from kmerframe.operators import reads as R
+from kmerframe.operators.documents import shingles
 from kmerframe.plans.registry import query
 from kmerframe.plans.sql import ONCE
 from kmerframe.runtime import ensure_checkpoint_dir, fanned, table
@@ -165,3 +166,13 @@ def document_shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Letters, digits and blanks of all documents, with the number of their documents; counted per document first."""
     rows = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.explode(F.split(F.regexp_replace(F.lower("text"), "[^a-z0-9 ]", ""), "")).alias("symbol")).where("symbol <> ''")
     return rows.groupBy("doc_id", "symbol").agg(F.count("*").alias("k")).groupBy("symbol").agg(F.sum("k").alias("n"), F.count("*").alias("documents"))
+
+
+@query("document_shingles_whole", """
+WITH w AS (SELECT doc_id, lower(text) AS t FROM documents WHERE text IS NOT NULL),
+s AS (SELECT doc_id, unnest(list_transform(range(1, length(t) - 3), lambda i: substr(t, i, 5))) AS shingle FROM w WHERE length(t) >= 5)
+SELECT shingle, count(*) AS n, count(DISTINCT doc_id) AS documents FROM s GROUP BY shingle
+""")
+def document_shingles_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All windows of 5 characters of the lower-cased documents, every symbol kept; document_shingles counts single symbols only."""
+    return shingles(table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("text")), 5)

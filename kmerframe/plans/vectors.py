@@ -70,6 +70,29 @@ def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found(spark, sf_dir).select("query", "neighbour", F.round("cosine", 6).alias("near"), "rank")
 
 
+def top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(config_id, k): knn_top_k of each configuration."""
+    return table(spark, sf_dir, "assembler_config").where("config_id IS NOT NULL AND knn_top_k IS NOT NULL").groupBy("config_id").agg(F.max("knn_top_k").alias("k"))
+
+
+def found_configured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As found, with knn_top_k of the configuration in place of K."""
+    rows = usable(spark, sf_dir).select(F.col("vec_id").alias("id"), "config_id", "embedding").join(top_k(spark, sf_dir), "config_id")
+    most = rows.agg(F.coalesce(F.max("k"), F.lit(0))).first()[0]
+    near = search.exact_neighbours(rows.where(F.col("id") % EVERY == 0).drop("k"), rows.drop("k"), most, "config_id")
+    return near.join(rows.select(F.col("id").alias("query"), "k"), "query").where("rank <= k").drop("k")
+
+
+FOUND_CONFIGURED = f"""{USABLE}, top_k AS (SELECT config_id, max(knn_top_k) AS k FROM assembler_config WHERE knn_top_k IS NOT NULL GROUP BY config_id),
+sims AS (SELECT q.vec_id AS query, r.vec_id AS neighbour, k, {cosine("q.e", "r.e")} AS c FROM usable q JOIN usable r ON q.config_id = r.config_id AND q.vec_id <> r.vec_id JOIN top_k ON top_k.config_id = q.config_id WHERE q.vec_id % {EVERY} = 0),
+found AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(c, 12) DESC, neighbour) AS rank FROM sims) WHERE rank <= k)"""
+
+
+@query("knn_topk_configured", f"WITH {FOUND_CONFIGURED} SELECT query, neighbour, round(c, 6) AS near, rank FROM found")
+def knn_topk_configured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return found_configured(spark, sf_dir).select("query", "neighbour", F.round("cosine", 6).alias("near"), "rank")
+
+
 @query("knn_label_purity", f"""
 WITH s AS (SELECT q.vec_id AS query, q.label AS ql, r.label AS rl, r.vec_id AS neighbour, {cosine("q.embedding", "r.embedding")} AS c FROM embeddings q JOIN embeddings r ON q.vec_id <> r.vec_id WHERE q.vec_id % {EVERY} = 0),
 t AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(c, 12) DESC, neighbour) AS rank FROM s)
@@ -98,6 +121,11 @@ def knn_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignments_of(spark, sf_dir, found(spark, sf_dir))
 
 
+@query("knn_alignments_configured", f"WITH RECURSIVE {ALIGNED.replace(FOUND, FOUND_CONFIGURED)} SELECT lo, hi, score FROM aligned")
+def knn_alignments_configured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignments_of(spark, sf_dir, found_configured(spark, sf_dir))
+
+
 @query("subgraph_scores", f"""
 WITH RECURSIVE {ONCE}, {ALIGNED},
 member AS (SELECT seq_id, min(graph_id) AS graph_id FROM membership WHERE graph_id IS NOT NULL AND seq_id IS NOT NULL GROUP BY seq_id),
@@ -112,12 +140,34 @@ SELECT c.graph_id, target, total, n, round(total / n, 6) AS norm_score FROM coun
 """)
 def subgraph_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each graph that holds query k-mers: the graph that their neighbours point at. The last window of a read isn't scored."""
+    return scores_of(spark, sf_dir, found(spark, sf_dir))
+
+
+@query("subgraph_scores_whole")
+def subgraph_scores_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each graph that holds embedded k-mers: the graph that their neighbours point at, over all usable vectors, with knn_top_k
+    of each configuration. Exact; no SQL, as all pairs of vectors are too many for it on larger tables."""
+    rows = usable(spark, sf_dir).join(top_k(spark, sf_dir), "config_id").select(F.col("vec_id").alias("id"), F.col("config_id").alias("grp"), "k", "embedding")
+    return scores_of(spark, sf_dir, search.all_neighbours(cut(rows)), sieve=True)
+
+
+#: Buckets of the sieve that windows pass before a join with many k-mers: what is broadcast is a number per bucket at most.
+SIEVE = 1 << 22
+
+
+def scores_of(spark: SparkSession, sf_dir: str, near: DataFrame, sieve: bool = False) -> DataFrame:
+    """(graph_id, target, total, n, norm_score) over the candidates near(query, neighbour). sieve: windows that can't be
+    k-mers of queries are left out before the shuffle."""
     vectors = cut(usable(spark, sf_dir).drop("embedding"))
-    near = cut(found(spark, sf_dir).select("query", "neighbour"))
+    near = cut(near.select("query", "neighbour"))
     member = table(spark, sf_dir, "membership").where("graph_id IS NOT NULL AND seq_id IS NOT NULL").groupBy("seq_id").agg(F.min("graph_id").alias("graph_id"))
     queries = near.select(F.col("query").alias("vec_id")).distinct().join(vectors, "vec_id").select(F.col("vec_id").alias("id"), "kmer")
     reads = reads_once(spark, sf_dir).select("seq_id", F.expr("substr(sequence, 1, greatest(0, length(sequence) - 1))").alias("sequence"))
-    places = windows(reads, 16).join(queries, "kmer").join(member, "seq_id").select("graph_id", "id")
+    all_windows = windows(reads, 16)
+    if sieve:
+        bucket = F.pmod(F.xxhash64("kmer"), F.lit(SIEVE)).alias("bucket")
+        all_windows = all_windows.select("*", bucket).join(F.broadcast(queries.select(bucket).distinct()), "bucket", "left_semi").drop("bucket")
+    places = all_windows.join(queries, "kmer").join(member, "seq_id").select("graph_id", "id")
     places = cut(scoring.place_counts(places))
     home = vectors.select(F.col("vec_id").alias("id"), F.col("repr.seq_id").alias("seq_id")).join(member, "seq_id").select("id", "graph_id")
     candidates = near.select(F.col("query").alias("a"), F.col("neighbour").alias("b"))

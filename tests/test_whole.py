@@ -1,8 +1,19 @@
 """Queries that do the whole job, on cases that a cut loses."""
 
+import glob
+import os
 from collections import Counter, defaultdict
 
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
+from kmerframe.operators import search
+from kmerframe.plans import vectors
+
+DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 def test_shingles_keep_every_symbol(spark, tmp_path):
@@ -17,3 +28,44 @@ def test_shingles_keep_every_symbol(spark, tmp_path):
     got = {r.shingle: (r.n, r.documents) for r in entry.queries()["document_shingles_whole"](spark, str(tmp_path)).collect()}
     assert got == {x: (n[x], len(held[x])) for x in n}
     assert got["año: "] == (2, 2) and got["aaaaa"] == (4, 2) and "í!\r\né" in got
+
+
+def test_all_neighbours_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    x = np.abs(rng.standard_normal((240, 8))).round(1)
+    x[40:90] = x[40]  # one class, larger than k
+    x[100] = 2 * x[101]
+    grp = np.where(np.arange(240) < 170, 1, 2)
+    tops = {1: 6, 2: 8}
+    rows = [(int(i) * 7, int(g), tops[int(g)], v.tolist()) for i, (g, v) in enumerate(zip(grp, x))]
+    df = spark.createDataFrame(rows, "id long, grp int, k int, embedding array<float>")
+    u = x.astype(np.float32).astype(np.float64)
+    u /= np.sqrt((u * u).sum(1, keepdims=True))
+    near = np.round(u @ u.T, 12)
+    want = {(i * 7, j * 7, r) for i in range(240) for r, j in enumerate(sorted((j for j in range(240) if j != i and grp[i] == grp[j]), key=lambda j: (-near[i, j], j))[: tops[grp[i]]], 1)}
+    for block in (50, 1 << 14):
+        assert {(r.query, r.neighbour, r["rank"]) for r in search.all_neighbours(df, block).collect()} == want
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the test tables are not here")
+def test_subgraphs_are_scored_over_all_vectors(spark):
+    con = duckdb.connect()
+    for p in glob.glob(f"{DATA}/*.parquet"):
+        con.sql(f"CREATE VIEW {os.path.basename(p)[:-8]} AS SELECT * FROM '{p}'")
+    narrow = entry.oracle_sql()["subgraph_scores"]
+    assert narrow.count(vectors.FOUND) == 1
+    whole = narrow.replace(vectors.FOUND, vectors.FOUND_CONFIGURED.replace(f" WHERE q.vec_id % {vectors.EVERY} = 0", ""))
+    columns = ["graph_id", "target", "total", "n", "norm_score"]
+    want = con.sql(f"SELECT {', '.join(columns)} FROM ({whole})").fetchall()
+    got = entry.queries()["subgraph_scores_whole"](spark, DATA).select(*columns).collect()
+    plain = lambda r: (*r[:4], None if r[4] is None else round(float(r[4]), 4))
+    assert sorted(map(str, map(plain, got))) == sorted(map(str, map(plain, want)))
+    assert len(got) > len(con.sql(narrow).fetchall())
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the test tables are not here")
+def test_k_is_that_of_the_configuration(spark):
+    k = {r.config_id: r.k for r in vectors.top_k(spark, DATA).collect()}
+    rows = entry.queries()["knn_topk_configured"](spark, DATA).join(vectors.usable(spark, DATA).select(F.col("vec_id").alias("query"), "config_id"), "query")
+    most = {r.config_id: r.m for r in rows.groupBy("config_id").agg(F.max("rank").alias("m")).collect()}
+    assert most and all(most[c] == k[c] for c in most) and set(most.values()) != {vectors.K}

@@ -84,6 +84,19 @@ def one_hot_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads.select("seq_id", F.size(F.filter("p", lambda x: x >= 0)).alias("known"), (F.size("p") * 16).alias("cells"), S.one_hot_decoded(F.col("code")).alias("decoded"))
 
 
+@query("one_hot_roundtrip_whole", f"""
+WITH {ONCE}
+SELECT seq_id, length(regexp_replace(sequence, '[^ACGTRYSWKMBDHVN.-]', '', 'g')) AS known, length(sequence) * 16 AS cells,
+  regexp_replace(regexp_replace(sequence, '[^ACGTRYSWKMBDHVN.-]', '?', 'g'), '[.]', '-', 'g') AS decoded
+FROM once WHERE sequence <> ''
+""")
+def one_hot_roundtrip_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known symbols, cells, and what comes back from the code of the whole read; one_hot_roundtrip codes its first 64 symbols only."""
+    reads = reads_once(spark, sf_dir).where("sequence <> ''").withColumn("p", S.one_hot_positions(F.col("sequence")))
+    decoded = S.one_hot_decoded(S.one_hot(F.col("sequence")))
+    return reads.select("seq_id", F.size(F.filter("p", lambda x: x >= 0)).alias("known"), (F.size("p") * 16).alias("cells"), decoded.alias("decoded"))
+
+
 @query("one_hot_transposed", """
 WITH k AS (SELECT DISTINCT kmer FROM kmer_embeddings WHERE kmer IS NOT NULL)
 SELECT kmer, i AS symbol, string_agg(CASE WHEN substr(kmer, j + 1, 1) = substr('ACGT', i + 1, 1) THEN '1' ELSE '0' END, '' ORDER BY j) AS places FROM k, range(4) a(i), range(16) b(j) GROUP BY kmer, i

@@ -69,3 +69,10 @@ def test_k_is_that_of_the_configuration(spark):
     rows = entry.queries()["knn_topk_configured"](spark, DATA).join(vectors.usable(spark, DATA).select(F.col("vec_id").alias("query"), "config_id"), "query")
     most = {r.config_id: r.m for r in rows.groupBy("config_id").agg(F.max("rank").alias("m")).collect()}
     assert most and all(most[c] == k[c] for c in most) and set(most.values()) != {vectors.K}
+
+
+def test_one_hot_codes_the_whole_read(spark, tmp_path):
+    texts = ["ACGT" * 40 + "xN.-" + "U" * 3, "A" * 63 + "C" * 2, "ac"]
+    spark.createDataFrame(list(enumerate(texts)), "seq_id long, sequence string").write.parquet(str(tmp_path / "reads.parquet"))
+    got = {r.seq_id: (r.known, r.cells, r.decoded) for r in entry.queries()["one_hot_roundtrip_whole"](spark, str(tmp_path)).collect()}
+    assert got == {0: (163, 167 * 16, "ACGT" * 40 + "?N--???"), 1: (65, 65 * 16, texts[1]), 2: (0, 32, "??")}

@@ -62,6 +62,15 @@ def kmer_representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.representatives(R.windows(reads_once(spark, sf_dir), K)).where("multiplicity > 1")
 
 
+@query("kmer_representatives_whole", f"""
+WITH {ONCE}, w AS (SELECT seq_id, i::INT AS off, substr(sequence, i + 1, {K}) AS kmer FROM once, LATERAL (SELECT unnest(range(0, length(sequence) - {K - 1})) AS i))
+SELECT kmer, min(struct_pack(s := seq_id, o := off)).s AS seq_id, min(struct_pack(s := seq_id, o := off)).o AS off, count(*) AS multiplicity FROM w GROUP BY kmer
+""")
+def kmer_representatives_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All k-mers with their first place, those of one place included; kmer_representatives gives repeated ones only."""
+    return R.representatives(R.windows(reads_once(spark, sf_dir), K))
+
+
 @query("kmer_text_at_place", f"""
 WITH {ONCE}, v AS (SELECT vec_id, min(repr.seq_id) AS seq_id, min(repr.off) AS off FROM kmer_embeddings GROUP BY vec_id)
 SELECT vec_id, v.seq_id, off, substr(sequence, off + 1, {K}) AS kmer FROM v LEFT JOIN once ON once.seq_id = v.seq_id

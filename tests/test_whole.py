@@ -76,3 +76,15 @@ def test_one_hot_codes_the_whole_read(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "seq_id long, sequence string").write.parquet(str(tmp_path / "reads.parquet"))
     got = {r.seq_id: (r.known, r.cells, r.decoded) for r in entry.queries()["one_hot_roundtrip_whole"](spark, str(tmp_path)).collect()}
     assert got == {0: (163, 167 * 16, "ACGT" * 40 + "?N--???"), 1: (65, 65 * 16, texts[1]), 2: (0, 32, "??")}
+
+
+def test_every_kmer_has_a_representative(spark, tmp_path):
+    reads = [(3, "ACGTACGTACGTACGTACGTA"), (5, "TTTTTTTTTTTTTTTTG"), (9, "ACGTACGTACGTACGT"), (11, "ACGT")]
+    spark.createDataFrame(reads, "seq_id long, sequence string").write.parquet(str(tmp_path / "reads.parquet"))
+    places = defaultdict(list)
+    for i, x in reads:
+        for j in range(len(x) - 15):
+            places[x[j : j + 16]].append((i, j))
+    got = {r.kmer: (r.seq_id, r.off, r.multiplicity) for r in entry.queries()["kmer_representatives_whole"](spark, str(tmp_path)).collect()}
+    assert got == {x: (*min(p), len(p)) for x, p in places.items()}
+    assert got["T" * 16] == (5, 0, 1)

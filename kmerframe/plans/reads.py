@@ -169,14 +169,27 @@ SELECT path || '/' || ordinal AS name, trim(regexp_replace(description, '\\s+',
 """)
 def fasta_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records written as FASTA into the shared folder and read back."""
+    return written_and_read(spark, R.distinct_records(table(spark, sf_dir, "fasta_records")).where("data <> ''"))
+
+
+@query("fasta_roundtrip_whole", f"""
+WITH {RECORDS.replace("arg_max(data, loaded_at) AS data", "arg_max(data, loaded_at) AS data, arg_max(coalesce(description, ''), loaded_at) AS description")}
+SELECT path || '/' || ordinal AS name, trim(regexp_replace(description, '\\s+', ' ', 'g'), ' ') AS description, replace(coalesce(data, ''), chr(10), '') AS data FROM recs
+""")
+def fasta_roundtrip_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All records written and read back, headers without data included; fasta_roundtrip leaves those out."""
+    return written_and_read(spark, R.distinct_records(table(spark, sf_dir, "fasta_records")), last_empty=True)
+
+
+def written_and_read(spark: SparkSession, rows: DataFrame, last_empty: bool = False) -> DataFrame:
+    """(name, description, data) of records, by way of FASTA files."""
     ensure_checkpoint_dir(spark)
-    rows = R.distinct_records(table(spark, sf_dir, "fasta_records")).where("data <> ''")
     rows = rows.select(
-        F.concat_ws("/", "path", "ordinal").alias("name"), F.trim(F.regexp_replace(F.coalesce("description", F.lit("")), "\\s+", " ")).alias("description"), F.regexp_replace("data", "\n", "").alias("data")
+        F.concat_ws("/", "path", "ordinal").alias("name"), F.trim(F.regexp_replace(F.coalesce("description", F.lit("")), "\\s+", " ")).alias("description"), F.regexp_replace(F.coalesce("data", F.lit("")), "\n", "").alias("data")
     )
     folder = spark.sparkContext._jsc.sc().getCheckpointDir().get() + "/fasta-" + spark._jvm.java.util.UUID.randomUUID().toString()
     write_fasta(rows, folder)
-    return read_fasta(spark, folder).select("name", "description", "data")
+    return read_fasta(spark, folder, last_empty=last_empty).select("name", "description", "data")
 
 
 @query("document_shingles", """

@@ -4,7 +4,7 @@ Records: a line `>name description`, then data lines, joined without line ends.
 line; one separator is taken away and the rest of the line is the description, as it stands. Data keep their case, `\\r` and all
 symbols; `>` within a line is data, blank lines add nothing. Lines with `;` are comments up to the next header: they end the
 record before them, and data right behind them are malformed. Data before any header form a record without a name. A header
-without data gives an empty record, but not at the end of the file. A last line without a line end counts like any other.
+without data gives an empty record, but not at the end of the file unless the option lastEmpty is true. A last line without a line end counts like any other.
 
 Files are read in parallel, large ones in splits: a split takes the records whose header begins in it, and reads on to the
 end of its last record. `ordinal` is the byte at which a record begins, so it grows along the file, is the same however the file
@@ -45,7 +45,7 @@ def _text(raw: bytes) -> str:
     return raw.decode("utf-8", "replace")
 
 
-def records(path: str, start: int = 0, end: int | None = None, permissive: bool = False) -> Iterator[tuple[str, int, str, str, str]]:
+def records(path: str, start: int = 0, end: int | None = None, permissive: bool = False, last_empty: bool = False) -> Iterator[tuple[str, int, str, str, str]]:
     """The records that begin in bytes start..end of a file."""
     with open(path, "rb") as lines:
         if start:
@@ -83,15 +83,16 @@ def records(path: str, start: int = 0, end: int | None = None, permissive: bool
                     begun, name, description, data = here, b"", b"", [body]
             elif body:
                 data.append(body)
-        if data:
+        if data or (last_empty and data is not None):
             joined = b"".join(data)
-            if joined:
+            if joined or last_empty:
                 yield path, begun, _text(name), _text(description), _text(joined)
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.permissive = options["path"], options.get("mode", "FAILFAST").upper() == "PERMISSIVE"
+        self.last_empty = options.get("lastempty", options.get("lastEmpty", "false")).lower() == "true"
         self.split = int(options.get("splitbytes", options.get("splitBytes", SPLIT_BYTES)))
 
     def partitions(self) -> list[Split]:
@@ -102,7 +103,7 @@ class _Reader(DataSourceReader):
 
     def read(self, partition: Split) -> Iterator[tuple]:
         if partition.path:
-            yield from records(partition.path, partition.start, partition.end, self.permissive)
+            yield from records(partition.path, partition.start, partition.end, self.permissive, self.last_empty)
 
 
 class _Stream(DataSourceStreamReader):
@@ -215,10 +216,10 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(FastaDataSource)
 
 
-def read_fasta(spark: SparkSession, path: str, mode: str = "FAILFAST", split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """(path, ordinal, name, description, data) of all records."""
+def read_fasta(spark: SparkSession, path: str, mode: str = "FAILFAST", split_bytes: int = SPLIT_BYTES, last_empty: bool = False) -> DataFrame:
+    """(path, ordinal, name, description, data) of all records; last_empty: also of a header without data at the end of a file."""
     register(spark)
-    return spark.read.format("fasta").option("mode", mode).option("splitBytes", split_bytes).load(path)
+    return spark.read.format("fasta").option("mode", mode).option("lastEmpty", str(last_empty).lower()).option("splitBytes", split_bytes).load(path)
 
 
 def count_fasta(spark: SparkSession, path: str, mode: str = "FAILFAST") -> int:

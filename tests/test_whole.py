@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from kmerframe.operators import search
 from kmerframe.plans import vectors
+from kmerframe.sources import fasta
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -88,3 +89,11 @@ def test_every_kmer_has_a_representative(spark, tmp_path):
     got = {r.kmer: (r.seq_id, r.off, r.multiplicity) for r in entry.queries()["kmer_representatives_whole"](spark, str(tmp_path)).collect()}
     assert got == {x: (*min(p), len(p)) for x, p in places.items()}
     assert got["T" * 16] == (5, 0, 1)
+
+
+@pytest.mark.parametrize("split", [1, 3, 1 << 20])
+def test_headers_without_data_come_back(tmp_path, split):
+    text = b">a\n>b x\nGT\n>c y\n"
+    (tmp_path / "x.fa").write_bytes(text)
+    got = [r[2:] for s in range(0, len(text), split) for r in fasta.records(str(tmp_path / "x.fa"), s, min(len(text), s + split), last_empty=True)]
+    assert got == [("a", "", ""), ("b", "x", "GT"), ("c", "y", "")]

@@ -1,9 +1,11 @@
 """Problem 6: encoding of whole texts with a public tokenizer.
 
-Texts up to `long_chars` characters are encoded as they are. A longer text is cut in half again and again;
-the pieces are spread over the cluster and encoded in parallel, and neighbours are joined pairwise, tree-wise.
-Around each join a growing window of the text is encoded anew, until its tokens agree with the left side
-at one token boundary and with the right side at another; outside the window both sides are right already.
+A text that is longer than `long_chars` characters, or has a run of `run_chars` without white space, is cut in half again and
+again, into pieces of at most `piece_chars`. The pieces are spread over the cluster and encoded in parallel, and neighbours are
+joined pairwise, level by level of the tree; a round of the job (one shuffle by text and place) joins LEVELS levels, so a task holds
+at most 2^LEVELS pieces of a text, however long it is. Around each join a growing window of the text is encoded anew, until its
+tokens agree with the left side at one token boundary and with the right side at another; outside the window both sides are right
+already. Pieces carry their ids only: ids give back their text. All other texts are encoded as they are, where they are read.
 
 Why the window may stop where it does:
 * The splitting pattern reads from left to right, never looks back, and its matches depend on what follows
@@ -19,20 +21,27 @@ from __future__ import annotations
 
 import base64
 import functools
+import itertools
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kmerframe.runtime import shuffle_width, spread
+from kmerframe.runtime import cut, shuffle_width, spread
 
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pattern that splits text before merging, as published with the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-LONG_CHARS = 1 << 18
-PIECE_CHARS = 1 << 16
+LONG_CHARS = 4096
+RUN_CHARS = 512
+PIECE_CHARS = 2048
+#: Levels of the tree that one shuffle joins.
+LEVELS = 3
 #: Splits kept away from a join: the last ones of the left side may change with what follows.
 UNSURE_SPLITS = 2
 
@@ -158,51 +167,91 @@ def _encode_plain(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.R
         yield pa.record_batch([batch.column(0), _list_array([_ids(enc, x) if x else np.zeros(0, np.int32) for x in texts.to_pylist()])], names=["doc_id", "ids"])
 
 
+#: A piece of a text: where the text was read (task and row there), its doc_id, the place of the piece, and of how many.
+_PIECE = "task int, row long, doc_id long, piece int, pieces int"
+
+
+def _cut_texts(batches: Iterator[pa.RecordBatch], piece_chars: int) -> Iterator[pa.RecordBatch]:
+    """The texts in halves of halves. A piece takes at most piece_chars, a batch about a million characters."""
+    task, row = TaskContext.get().partitionId(), 0
+    names = ["task", "row", "doc_id", "piece", "pieces", "text"]
+    out, held = [], 0
+    for batch in batches:
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            pieces = 1 << max(1, math.ceil(math.log2(len(text) / piece_chars)))
+            step = -(-len(text) // pieces)
+            pieces = -(-len(text) // step)
+            for i in range(pieces):
+                out.append((task, row, doc_id, i, pieces, text[i * step : (i + 1) * step]))
+                held += step
+                if held > 1_000_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), _CUT_TYPES, strict=True)], names=names)
+                    out, held = [], 0
+            row += 1
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), _CUT_TYPES, strict=True)], names=names)
+
+
+_CUT_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string()]
+
+
 def _encode_pieces(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     enc = encoding(path)
     for batch in batches:
-        texts = batch.column(2)
-        yield pa.record_batch([batch.column(0), batch.column(1), texts, _list_array([_ids(enc, x) for x in texts.to_pylist()])], names=["row", "piece", "text", "ids"])
+        yield pa.record_batch([*batch.columns[:5], _list_array([_ids(enc, x) for x in batch.column(5).to_pylist()])], names=[*batch.schema.names[:5], "ids"])
 
 
 def _join_pieces(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     enc = encoding(path)
     for batch in batches:
-        done = []
-        for pieces in batch.column(1).to_pylist():
-            done.append(tree([(p["text"], np.array(p["ids"], np.int32)) for p in pieces], enc))
-        yield pa.record_batch([batch.column(0), _list_array(done)], names=["doc_id", "ids"])
+        groups = batch.column(5)
+        inner = groups.flatten().field("ids")
+        ids, at = inner.flatten().to_numpy(zero_copy_only=False), inner.offsets.to_numpy() - (inner.offsets[0].as_py() if len(inner) else 0)
+        ends = groups.offsets.to_numpy() - groups.offsets[0].as_py()
+        pieces = [ids[a:b] for a, b in itertools.pairwise(at)]
+        pieces = [(enc.decode_bytes(x.tolist()).decode(), x) for x in pieces]
+        done = [tree(pieces[a:b], enc) for a, b in itertools.pairwise(ends)]
+        yield pa.record_batch([*batch.columns[:5], _list_array(done)], names=[*batch.schema.names[:5], "ids"])
 
 
-def encoded(documents: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, long_chars: int = LONG_CHARS, piece_chars: int = PIECE_CHARS) -> DataFrame:
+def _is_long(long_chars: int, run_chars: int):
+    size = F.coalesce(F.length("text"), F.lit(0))
+    return (size > long_chars) | ((size >= run_chars) & F.coalesce(F.col("text").rlike(rf"\S{{{run_chars}}}"), F.lit(False)))
+
+
+def encoded_by_tree(documents: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, piece_chars: int = PIECE_CHARS) -> DataFrame:
+    """(doc_id, ids) of documents(doc_id, text), whose texts have at least two characters, by tree concatenation."""
+    width = shuffle_width(documents.sparkSession)
+    # written once: the names of the texts, task and row, stand from here on whatever executors are lost
+    texts = cut(documents.mapInArrow(lambda b: _cut_texts(b, piece_chars), f"{_PIECE}, text string"))
+    most = texts.agg(F.max("pieces")).first()[0] or 1
+    work = texts.repartition(width, "task", "row", "piece").mapInArrow(lambda b: _encode_pieces(b, vocabulary), f"{_PIECE}, ids array<int>")
+    done = []
+    while most > 1:
+        fan = 1 << LEVELS
+        parts = work.groupBy("task", "row", "doc_id", F.expr(f"piece div {fan}").cast("int").alias("piece"), F.ceil(F.col("pieces") / fan).cast("int").alias("pieces"))
+        parts = parts.agg(F.sort_array(F.collect_list(F.struct(F.col("piece").alias("at"), "ids"))).alias("group"))  # 2^LEVELS pieces at most
+        work = parts.mapInArrow(lambda b: _join_pieces(b, vocabulary), f"{_PIECE}, ids array<int>")
+        most = -(-most // fan)
+        if most > 1:
+            work = cut(work)
+            done.append(work.where("pieces = 1"))
+            work = work.where("pieces > 1")
+    return reduce(DataFrame.unionByName, [*done, work]).select("doc_id", "ids")
+
+
+def encoded(documents: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, long_chars: int = LONG_CHARS, run_chars: int = RUN_CHARS, piece_chars: int = PIECE_CHARS) -> DataFrame:
     """(doc_id, ids): the ids of each whole text, without special tokens, the text taken as it is.
 
     One row for each row of documents, also for repeated ones and for a null doc_id. The list is empty for an
     empty and for a null text; a blank text has the ids of its white space. Other columns are ignored, whatever
-    their names. Short texts are encoded where they are read, without a shuffle. A text longer than long_chars is
-    encoded in pieces of at most piece_chars by different tasks; only its own pieces meet in one row, which the
-    result is anyway.
+    their names. Each of the two ways reads the table for itself: writing the ids of all texts between, so as to read
+    once, would cost several times what reading a text costs.
     """
     rows = documents.select("doc_id", "text")
-    size = F.coalesce(F.length("text"), F.lit(0))
-    short = spread(rows.where(size <= long_chars)).mapInArrow(lambda b: _encode_plain(b, vocabulary), "doc_id long, ids array<int>")
-    levels = F.greatest(F.lit(1), F.ceil(F.log2(F.length("text") / F.lit(piece_chars)))).cast("int")
-    pieces = (
-        rows.where(size > long_chars)
-        .withColumn("row", F.struct("doc_id", F.expr("uuid()").alias("copy")))
-        .withColumn("step", F.ceil(F.length("text") / F.pow(F.lit(2), levels)).cast("int"))
-        .select("row", "text", "step", F.posexplode(F.expr("sequence(0, length(text) - 1, step)")).alias("piece", "start"))
-        .select("row", "piece", F.expr("substring(text, start + 1, step)").alias("text"))
-    )
-    done = (
-        pieces.repartition(shuffle_width(documents.sparkSession), "row", "piece")
-        .mapInArrow(lambda b: _encode_pieces(b, vocabulary), "row struct<doc_id: long, copy: string>, piece int, text string, ids array<int>")
-        .groupBy("row")
-        .agg(F.sort_array(F.collect_list(F.struct("piece", "text", "ids"))).alias("pieces"))
-        .select("row.doc_id", "pieces")
-        .mapInArrow(lambda b: _join_pieces(b, vocabulary), "doc_id long, ids array<int>")
-    )
-    return short.unionByName(done)
+    long = _is_long(long_chars, run_chars)
+    short = spread(rows.where(~long)).mapInArrow(lambda b: _encode_plain(b, vocabulary), "doc_id long, ids array<int>")
+    return short.unionByName(encoded_by_tree(rows.where(long), vocabulary, piece_chars))
 
 
 def _count_tokens(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:

@@ -8,7 +8,7 @@ A document is read as cells (text, code, output) in whichever written form it ha
   two fifths of it. Inline code, formulas, code cells and outputs are left out, and so are paragraphs whose words tell
   that they are about templates, syntax or types. A likely slot must be named like a field of a form.
 * Prompts. Instructions to the author in text, and exercise stubs in code that still have no answer.
-* Filler. A few words or one sentence over and over; words typed from one row of the keyboard; pseudo-words: running
+* Filler. A few words over and over; words typed from one row of the keyboard; pseudo-words: running
   text without any short word in which long words keep coming back, which no language does; named filler phrases; headings whose
   content is still to come. A line in a language that is not known here is no filler by itself.
 * Error pages and notices. Told by structure, not by sentence: without title, menu, footer and trace the text is short, there is no code,
@@ -312,14 +312,13 @@ def is_filler(lines: list[str]) -> bool:
         if len(words) >= REPEATED_WORDS:
             if len(set(words)) <= 3:
                 return True
-            sentences = [x.strip() for x in bare.lower().split(".") if x.strip()]
-            if len(sentences) > 2 and len(set(sentences)) == 1:
-                return True
             if sum(len(w) > 1 for w in words) >= REPEATED_WORDS and MASHED.match(bare) and len({*words}) > 3:
                 return True
         # a word of up to three letters, or many capitals, as in lists of names, belong to real text
         if ONLY_WORDS.match(bare) and min(map(len, words)) > 3 and sum(w[:1].isupper() for w in WORD.findall(bare)) * 2 < len(words):
             pseudo.extend(words)
+            if "lorem" in words:
+                return True
     return len(pseudo) >= PSEUDO_WORDS and len(pseudo) - len(set(pseudo)) >= max(2, len(pseudo) // 8)
 
 

@@ -26,20 +26,21 @@ def _equals(text: str):
 
 
 class SpectrumEmbedder:
-    """Counts of all q-grams over A, C, G, T, as a unit vector of 4^q values. Deterministic; not a trained network."""
+    """Counts of all q-grams over A, C, G, T, as a unit vector of 4^q values; U reads as T. Deterministic; not a trained network."""
 
     def __init__(self, q: int = 2):
         self.q = q
         self.grams = ["".join(x) for x in product("ACGT", repeat=q)]
 
     def __call__(self, distinct_kmers: DataFrame) -> DataFrame:
-        rows = over_all_cores(distinct_kmers, "kmer").select("kmer", kmers(F.col("kmer"), self.q).alias("grams"))
+        rows = over_all_cores(distinct_kmers, "kmer").select("kmer", kmers(F.translate("kmer", "U", "T"), self.q).alias("grams"))
         rows = rows.select("kmer", F.array(*[F.size(F.filter("grams", _equals(x))).cast("double") for x in self.grams]).alias("counts"))
         return rows.select("kmer", normalised(F.col("counts")).cast("array<float>").alias("embedding"))
 
 
 class OnnxEmbedder:
-    """A network with one input (batch, k, 16) of one-hot rows and one output of vectors, which come out as unit vectors.
+    """A network with one input (batch, k, 16) of one-hot rows and one output of vectors, which come out as unit vectors. `order` is
+    that of the type of the sequences (functions.alphabets.ORDERS).
 
     One session with one thread for each Python worker, made when its first batch comes.
     """
@@ -67,6 +68,50 @@ class OnnxEmbedder:
         return distinct_kmers.select("kmer").mapInArrow(run, "kmer string, embedding array<float>")
 
 
+class CnnEmbedder:
+    """Three convolutions of kernel 3, each with ReLU and a maximum over 2, then two dense layers, with seeded weights that are not trained.
+
+    The weights follow from the seed, so every Python worker makes the same ones for itself. Unit vectors come out.
+    """
+
+    def __init__(self, k: int = 64, seed: int = 3, filters: tuple[int, ...] = (32, 64, 128), hidden: int = 8192, dim: int = 512, order: str = "ACGTRYSWKMBDHVN", gaps: str = ".-"):
+        self.k, self.seed, self.filters, self.hidden, self.dim, self.order, self.gaps = k, seed, filters, hidden, dim, order, gaps
+
+    def weights(self) -> list[np.ndarray]:
+        rng, width, length, out = np.random.default_rng(self.seed), 16, self.k, []
+        for filters in self.filters:
+            out.append(rng.standard_normal((3 * width, filters)).astype(np.float32) * np.float32((2 / (3 * width)) ** 0.5))
+            width, length = filters, (length - 2) // 2
+        if length < 1:
+            raise ValueError(f"k-mers of {self.k} symbols are too short for {len(self.filters)} convolutions")
+        for a, b in ((width * length, self.hidden), (self.hidden, self.dim)):
+            out.append(rng.standard_normal((a, b)).astype(np.float32) * np.float32((2 / a) ** 0.5))
+        return out
+
+    def __call__(self, distinct_kmers: DataFrame) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            weights = None
+            for whole in batches:
+                weights = weights or self.weights()
+                for start in range(0, whole.num_rows, 256):
+                    batch = whole.slice(start, 256)
+                    unit = forward(one_hot_rows(batch.column(0).to_pylist(), self.order, self.gaps), weights)
+                    offsets = pa.array(np.arange(0, unit.size + 1, unit.shape[1], dtype=np.int32))
+                    yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(unit.ravel()))], names=["kmer", "embedding"])
+
+        rows = over_all_cores(distinct_kmers.select("kmer"), "kmer").where(F.length("kmer") == self.k)
+        return rows.mapInArrow(run, "kmer string, embedding array<float>")
+
+
+def forward(x: np.ndarray, weights: list[np.ndarray]) -> np.ndarray:
+    """Unit vectors of one-hot rows (n, k, 16): all but the last two weights are convolutions of kernel 3."""
+    for w in weights[:-2]:
+        x = np.maximum(np.concatenate([x[:, :-2], x[:, 1:-1], x[:, 2:]], axis=2) @ w, 0)
+        x = x[:, : x.shape[1] // 2 * 2].reshape(len(x), -1, 2, x.shape[2]).max(2)
+    x = np.maximum(x.reshape(len(x), -1) @ weights[-2], 0) @ weights[-1]
+    return (x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-30)).astype(np.float32)
+
+
 def one_hot_rows(texts: list[str], order: str, gaps: str) -> np.ndarray:
     """(n, k, 16) one-hot rows of k-mers of one length; unknown and lower-case symbols give zero rows."""
     place = np.full(256, 16, np.uint8)

@@ -54,6 +54,14 @@ def representatives(places: DataFrame) -> DataFrame:
     return first.withColumn("off", off.cast("int")).select("kmer", F.expr(f"cast((first - off) div {_PLACES} as long)").alias("seq_id"), "off", "multiplicity")
 
 
+def represented(kmers: DataFrame, representatives: DataFrame) -> DataFrame:
+    """kmers(kmer, seq_id, off, ...) with the place of the k-mer's representative in seq_id and off, and `found`. A k-mer without a
+    representative stands for itself, with the place it has."""
+    first = representatives.select("kmer", F.col("seq_id").alias("_seq_id"), F.col("off").alias("_off"))
+    rows = kmers.join(first, "kmer", "left").withColumn("found", F.col("_seq_id").isNotNull())
+    return rows.withColumn("seq_id", F.coalesce("_seq_id", "seq_id")).withColumn("off", F.coalesce("_off", "off")).drop("_seq_id", "_off")
+
+
 def text_at(places: DataFrame, reads: DataFrame, k: int) -> DataFrame:
     """places(seq_id, off, ...) with kmer, the text found there; null where the read is unknown."""
     return places.join(reads.select("seq_id", "sequence"), "seq_id", "left").withColumn("kmer", F.substr("sequence", F.col("off") + 1, F.lit(k))).drop("sequence")

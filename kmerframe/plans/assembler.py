@@ -17,11 +17,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kmerframe.config import AssemblerConfig, AssemblyState, AssemblySubState, SequenceType
+from kmerframe.functions import alphabets
 from kmerframe.functions.alignment import with_scores
 from kmerframe.functions.sequences import cosine
 from kmerframe.operators import graphs, reads, scoring, search
 from kmerframe.operators.embedding import Embedder, OnnxEmbedder, SpectrumEmbedder
 from kmerframe.runtime import cut
+from kmerframe.sources.cache import embedded_once
 from kmerframe.sources.fasta import read_fasta
 
 _LOG = logging.getLogger("kmerframe")
@@ -59,15 +61,25 @@ def neighbours_of(embeddings: DataFrame, k: int, exact: bool, dim: int) -> DataF
 
 
 class Assembler:
-    """start_async, status, wait, abort. One run at a time; the results are DataFrames in `results` once a phase is done."""
+    """start_async, status, wait, abort. One run at a time; the results are DataFrames in `results` once a phase is done.
 
-    def __init__(self, spark: SparkSession, config: AssemblerConfig | None = None, embedder: Embedder | None = None, exact: bool = False, itself: bool = False):
+    cache: a folder that keeps embeddings between runs, by model; k-mers that are kept there are not embedded again.
+    """
+
+    def __init__(self, spark: SparkSession, config: AssemblerConfig | None = None, embedder: Embedder | None = None, exact: bool = False, itself: bool = False, cache: str | None = None):
         self.spark, self.config, self.exact, self.itself = spark, config or AssemblerConfig(), exact, itself
-        self.embedder = embedder or (OnnxEmbedder(self.config.seqemb_onnx_path) if self.config.seqemb_onnx_path else SpectrumEmbedder())
+        self.embedder, self.cache = embedder, cache
         self.results: dict[str, DataFrame] = {}
         self._status, self._thread, self._stop = Status(), None, threading.Event()
         self._tag = f"assembly-{uuid.uuid4().hex}"
 
+    def _embedded(self, kmers: DataFrame) -> DataFrame:
+        path = self.config.seqemb_onnx_path
+        embedder = self.embedder or (OnnxEmbedder(path, alphabets.ORDERS[self._kind.value]) if path else SpectrumEmbedder())
+        if self.cache is None:
+            return embedder(kmers)
+        return embedded_once(kmers, embedder, self.cache, f"{type(embedder).__name__}-{path or ''}-{self._kind.value}-{self.config.kmer_len}".replace("/", "_"))
+
     def start_async(self, path: str, kind: SequenceType = SequenceType.DNA) -> None:
         """Assemble a FASTA file, folder or pattern in the background."""
         self._begin(lambda: read_fasta(self.spark, path), kind)
@@ -96,6 +108,7 @@ class Assembler:
         if self._thread and self._thread.is_alive():
             raise RuntimeError("an assembly is running")
         self._stop.clear()
+        self._kind = kind if kind is SequenceType.RNA else SequenceType.DNA
         self._status = Status(state=AssemblyState.IN_PROGRESS)
         self._thread = threading.Thread(target=self._run, args=(source,), daemon=True)
         self._thread.start()
@@ -134,7 +147,7 @@ class Assembler:
         r["representatives"] = cut(reads.numbered(reads.representatives(places), ["seq_id", "off"], "id"))
         kmers = r["representatives"].select("id", "kmer", "seq_id", "off")
         s.kmers = kmers.count()
-        r["embeddings"] = cut(kmers.select("id", "kmer").join(self.embedder(kmers.select("kmer")), "kmer").select("id", "embedding"))
+        r["embeddings"] = cut(kmers.select("id", "kmer").join(self._embedded(kmers.select("kmer")), "kmer").select("id", "embedding"))
         self._phase(AssemblySubState.CANDIDATES)
         first = r["embeddings"].first()
         r["candidates"] = cut(neighbours_of(r["embeddings"], self.config.knn_top_k - 1, self.exact, len(first["embedding"]) if first else 1))

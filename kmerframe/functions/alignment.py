@@ -124,6 +124,69 @@ def concordance(a: str, b: str, k: int) -> float:
     return sum(a[i] == b[j] for i, j in traced(a, b)) / k
 
 
+def concordances(a: list[str], b: list[str], k: int, matrix: np.ndarray = NUC44, opened: int = 3, extended: int = 1) -> np.ndarray:
+    """concordance of each pair. Directions are kept as one byte a cell and all pairs of a block are traced together."""
+    out = np.zeros(len(a))
+    order = sorted(range(len(a)), key=lambda i: (len(a[i]), len(b[i])))
+    start = 0
+    while start < len(order):
+        stop, n, m = start, 1, 1
+        while stop < len(order) and max(n, len(a[order[stop]])) * max(m, len(b[order[stop]])) * (stop - start + 1) <= BLOCK_CELLS:
+            n, m = max(n, len(a[order[stop]])), max(m, len(b[order[stop]]))
+            stop += 1
+        stop = max(stop, start + 1)
+        part = order[start:stop]
+        out[part] = _equal_places([a[i] for i in part], [b[i] for i in part], matrix, opened, extended) / k
+        start = stop
+    return out
+
+
+_LIVE, _DIAGONAL, _DOWN, _DOWN_OPENED, _ALONG_OPENED = 1, 2, 4, 8, 16
+
+
+def _equal_places(a: list[str], b: list[str], matrix: np.ndarray, opened: int, extended: int) -> np.ndarray:
+    """Equal symbols at the aligned places of a best alignment of each pair, the first one in the order of traced."""
+    n, m = max(map(len, a)), max(map(len, b))
+    if not n or not m:
+        return np.zeros(len(a), np.int64)
+    bad = -(1 << 20)
+    table = np.full((len(MATRIX_SYMBOLS) + 1,) * 2, bad, np.int32)
+    table[:-1, :-1] = matrix
+    x, y = _padded(a, n), _padded(b, m)
+    ramp = np.arange(m, dtype=np.int32) * extended
+    above = np.zeros((len(a), m + 1), np.int32)
+    down = np.full((len(a), m), bad, np.int32)
+    codes = np.zeros((len(a), n, m), np.uint8)
+    best, at_i, at_j = (np.zeros(len(a), np.int64) for _ in range(3))
+    for i in range(n):
+        diagonal = above[:, :-1] + table[x[:, i][:, None], y]
+        t = np.maximum(np.maximum(diagonal, down), 0)
+        along = np.full_like(t, bad)
+        along[:, 1:] = np.maximum.accumulate(t + ramp, axis=1)[:, :-1] - ramp[1:] - (opened - extended)
+        h = np.maximum(t, along)
+        codes[:, i] = _LIVE * (h > 0) | _DIAGONAL * (h == diagonal) | _DOWN * (h == down) | _DOWN_OPENED * (down == above[:, 1:] - opened)
+        codes[:, i, 1:] |= (_ALONG_OPENED * (along[:, 1:] == h[:, :-1] - opened)).astype(np.uint8)
+        top = np.where(x[:, i] == _PAD, 0, h.max(1))
+        better = top > best
+        best, at_i, at_j = np.where(better, top, best), np.where(better, i + 1, at_i), np.where(better, h.argmax(1) + 1, at_j)
+        down = np.maximum(down - extended, h - opened)
+        above[:, 1:] = h
+    one = lambda texts, width: np.stack([np.pad(np.frombuffer(t.encode("utf-32-le"), np.uint32), (0, width - len(t))) for t in texts])
+    ra, rb = one(a, n), one(b, m)
+    equal, state = np.zeros(len(a), np.int64), np.zeros(len(a), np.int8)
+    live = np.flatnonzero(best > 0)
+    while len(live):
+        i, j, s = at_i[live], at_j[live], state[live]
+        code = codes[live, i - 1, j - 1]
+        stop = (s == 0) & (code & _LIVE == 0)
+        diagonal = (s == 0) & ~stop & (code & _DIAGONAL > 0)
+        equal[live] += diagonal & (ra[live, i - 1] == rb[live, j - 1])
+        state[live] = np.where(s == 0, np.where(diagonal | stop, 0, np.where(code & _DOWN > 0, 1, 2)), np.where(code & np.where(s == 1, _DOWN_OPENED, _ALONG_OPENED) > 0, 0, s))
+        at_i[live], at_j[live] = i - (diagonal | (s == 1)), j - (diagonal | (s == 2))
+        live = live[~stop & (at_i[live] > 0) & (at_j[live] > 0)]
+    return equal
+
+
 #: Cells of a block of pairs in one step, so that memory has a bound whatever the lengths.
 BLOCK_CELLS = 2_000_000
 

@@ -9,8 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kmerframe.functions.windows import bounded
-from kmerframe.runtime import spread
+from kmerframe.runtime import bounded, spread
 
 #: Bytes of text that are counted together in a task, at most about; a document is never cut.
 COUNTED_BYTES = 2_000_000

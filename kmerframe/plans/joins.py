@@ -55,7 +55,15 @@ def graph_pair_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ends.groupBy("graph_id").agg(F.count("*").alias("pairs"), value(F.min).alias("low"), value(F.max).alias("high"), F.sum(F.round(F.col("norm_score") * 10000).cast("long")).alias("points"))
 
 
-@query("best_first_matching")
+@query("best_first_matching", f"""
+WITH RECURSIVE {PAIRS}, queue AS (SELECT gd_lo, gd_hi, norm_score, row_number() OVER (ORDER BY norm_score DESC, gd_lo, gd_hi) AS r FROM pairs WHERE norm_score >= {THRESHOLD}),
+walk AS (
+  SELECT 0::BIGINT AS r, []::BIGINT[] AS taken, false AS fits
+  UNION ALL
+  SELECT r, CASE WHEN fits THEN taken || [gd_lo, gd_hi] ELSE taken END, fits
+  FROM (SELECT q.r, gd_lo, gd_hi, taken, NOT list_contains(taken, gd_lo) AND NOT list_contains(taken, gd_hi) AS fits FROM walk JOIN queue q ON q.r = walk.r + 1))
+SELECT gd_lo, gd_hi, norm_score FROM walk JOIN queue USING (r) WHERE fits
+""")
 def best_first_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.greedy_matching(_joins(spark, sf_dir).where(F.col("norm_score") >= THRESHOLD))
 

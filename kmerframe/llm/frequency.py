@@ -1,9 +1,13 @@
 """Problem 4: how often every term occurs and in how many records.
 
 Terms are windows of the folded sequence. Each task sorts its (term, record) pairs in bounded runs
-and scans them run-length into partial counts; the runs are range-partitioned by term, sorted by
+and scans them run-length into partial counts; the runs are range-partitioned by (width, term), sorted by
 Spark's external sort, and scanned once more. A record lies wholly in one run, so partial numbers
 of records add up; a term reaches the shuffle at most once per run, however common it is.
+
+The bounds of the ranges are quantiles of the terms of a bounded sample of the records, so that frequent prefixes have many
+ranges and no task gets more than its share. The sample decides only which task counts a term. Partition i holds the i-th range,
+so the counts come out in order.
 """
 
 from __future__ import annotations
@@ -15,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kmerframe.functions.windows import bounded, mixed, symbols, unpacked
 from kmerframe.llm.reads import once
-from kmerframe.runtime import shuffle_width
+from kmerframe.llm.windows import mixed, symbols, unpacked
+from kmerframe.runtime import bounded, shuffle_width
 
-#: A key range holds the terms that share their first symbols.
-RANGE_SYMBOLS = 6
+#: Records, at most about, that the bounds of the ranges are taken from.
+SAMPLE_READS = 5_000
 RARE_READS = 1
 COMMON_PER = 20  # common: found in at least one of so many reads (5 %)
 RUN_SYMBOLS = 2_000_000
@@ -28,7 +32,7 @@ RUN_SYMBOLS = 2_000_000
 #: Bits of the sieve that holds the recorded terms; its size is the same for any number of them.
 SIEVE_BITS = 25
 
-COUNTS = pa.schema([("w", pa.int32()), ("span", pa.int32()), ("term", pa.int64()), ("occurrences", pa.int64()), ("records", pa.int64())])
+COUNTS = pa.schema([("w", pa.int32()), ("part", pa.int32()), ("term", pa.int64()), ("occurrences", pa.int64()), ("records", pa.int64())])
 
 
 def _sieve_places(term: np.ndarray) -> np.ndarray:
@@ -49,7 +53,42 @@ def sieve_of(terms: DataFrame) -> np.ndarray:
     return sieve
 
 
-def _runs(batches: Iterator[pa.RecordBatch], widths: tuple[int, ...], sieves: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+class Ranges:
+    """Which partition a term belongs to: bounds(w) are the first terms of all partitions of w but its first one."""
+
+    def __init__(self, bounds: dict[int, np.ndarray]):
+        self.bounds, self.first, at = bounds, {}, 0
+        for w in sorted(bounds):
+            self.first[w] = at
+            at += len(bounds[w]) + 1
+        self.parts = max(1, at)
+
+    def of(self, w: int, term: np.ndarray) -> np.ndarray:
+        return (self.first[w] + np.searchsorted(self.bounds[w], term, side="right")).astype(np.int32)
+
+
+def ranges_of(reads: DataFrame, widths: tuple[int, ...], sieves: dict[int, np.ndarray], parts: int) -> Ranges:
+    """About `parts` ranges of about equal size. The driver sees `parts` quantiles for each width; an empty sample gives a range per width."""
+    usable = reads.where(F.col("seq_id").isNotNull() & F.col("sequence").isNotNull())
+    share = F.pmod(F.xxhash64("seq_id"), F.lit(1_000_000)) < F.lit(int(min(1.0, SAMPLE_READS / max(1, reads.count())) * 1_000_000))
+    whole = Ranges({w: np.zeros(0, np.int64) for w in widths})
+    sample = usable.where(share).select("sequence").mapInArrow(lambda b: _runs(b, widths, sieves, whole), _COUNTS)
+    steps = [(i + 1) / parts for i in range(parts - 1)] or [0.5]
+    told = {x["w"]: x for x in sample.groupBy("w").agg(F.count("*").alias("n"), F.percentile_approx("term", F.array(*map(F.lit, steps)), F.lit(20 * parts)).alias("q")).collect()}
+    total = sum(x["n"] for x in told.values())
+    bounds = {}
+    for w in widths:
+        own = max(1, round(parts * told[w]["n"] / total)) if w in told and total else 1
+        quantiles = np.array(told[w]["q"], np.int64) if w in told else np.zeros(0, np.int64)
+        at = np.unique((np.arange(1, own) * len(quantiles) // own).astype(np.int64)) if len(quantiles) else np.zeros(0, np.int64)
+        bounds[w] = np.unique(quantiles[at])
+    return Ranges(bounds)
+
+
+_COUNTS = "w int, part int, term long, occurrences long, records long"
+
+
+def _runs(batches: Iterator[pa.RecordBatch], widths: tuple[int, ...], sieves: dict[int, np.ndarray], ranges: Ranges) -> Iterator[pa.RecordBatch]:
     for batch in bounded(batches, 0, RUN_SYMBOLS):
         s = symbols(batch.column(0))
         bits = max(1, batch.num_rows.bit_length())
@@ -76,7 +115,7 @@ def _runs(batches: Iterator[pa.RecordBatch], widths: tuple[int, ...], sieves: di
             yield pa.record_batch(
                 [
                     pa.array(np.full(len(head), w, np.int32)),
-                    pa.array((head >> (2 * max(0, w - RANGE_SYMBOLS))).astype(np.int32)),
+                    pa.array(ranges.of(w, head)),
                     pa.array(head),
                     pa.array(np.diff(np.append(first, len(term)))),
                     pa.array(np.add.reduceat(new.astype(np.int64), first)),
@@ -123,25 +162,48 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def term_counts(reads: DataFrame, widths: tuple[int, ...], recorded: DataFrame | None = None, sieves: dict[int, np.ndarray] | None = None) -> DataFrame:
-    """(w, term, occurrences, records, low, high) of every window of each width in reads(seq_id, sequence).
+    """(w, term, occurrences, records, low, high) of every window of each width in reads(seq_id, sequence), in order of w and term.
 
-    term is packed. recorded(w, span, term, weight) adds terms with a recorded weight; low and high are the
+    term is packed. recorded(w, term, weight) adds terms with a recorded weight; low and high are the
     smallest and largest weight of a term, the extremes of int64 in reverse where it has none. A width with a
     sieve counts only terms that pass it: those it was made of, with their exact counts, and some others. An empty
     table gives no rows. Any other columns of reads are ignored.
     """
-    held = reads.sparkSession.sparkContext.broadcast(sieves or {})
-    partial = once(reads).select("sequence").mapInArrow(lambda b: _runs(b, widths, held.value), "w int, span int, term long, occurrences long, records long").withColumn("weight", F.lit(None).cast("long"))
+    context = reads.sparkSession.sparkContext
+    ranges = ranges_of(reads, widths, sieves or {}, shuffle_width(reads.sparkSession))
+    held = context.broadcast((sieves or {}, ranges))  # a sieve and a bound per partition: fixed size
+    partial = once(reads).select("sequence").mapInArrow(lambda b: _runs(b, widths, *held.value), _COUNTS).withColumn("weight", F.lit(None).cast("long"))
     if recorded is not None:
-        partial = partial.unionByName(recorded.select("w", "span", "term", F.lit(0).cast("long").alias("occurrences"), F.lit(0).cast("long").alias("records"), "weight"))
-    width = shuffle_width(reads.sparkSession)
+
+        def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                w, term = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                part = np.zeros(len(w), np.int32)
+                for width in np.unique(w):
+                    part[w == width] = held.value[1].of(int(width), term[w == width])
+                none = pa.array(np.zeros(len(w), np.int64))
+                yield pa.record_batch([batch.column(0), pa.array(part), batch.column(1), none, none, batch.column(2)], names=["w", "part", "term", "occurrences", "records", "weight"])
+
+        partial = partial.unionByName(recorded.select("w", "term", "weight").mapInArrow(placed, f"{_COUNTS}, weight long"))
     return (
-        partial.repartition(width, "w", "span")
+        partial.repartitionById(ranges.parts, F.col("part"))
         .sortWithinPartitions("w", "term")
         .mapInArrow(lambda b: _merged(b), "w int, term long, occurrences long, records long, low long, high long")
     )
 
 
+def counted_terms(reads: DataFrame, width: int = 10) -> DataFrame:
+    """(term, occurrences, records): how often each window of `width` occurs in all reads, and in how many of them, in folded form and
+    in order of the terms within and over partitions. Repeated reads count once; see term_counts."""
+    return term_counts(reads, (width,)).select("w", "term", "occurrences", "records").mapInArrow(_count_texts, "term string, occurrences long, records long")
+
+
+def _count_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            yield pa.record_batch([unpacked(batch.column(1).to_numpy(), batch.column(0)[0].as_py()), *batch.columns[2:]], names=["term", "occurrences", "records"])
+
+
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         w, term = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -168,8 +230,7 @@ def marked_terms(reads: DataFrame, embeddings: DataFrame, width: int = 10, kmer_
     ).distinct()
     window = F.col("kmer").rlike(f"^[ACGT]{{{kmer_width}}}\\z")
     recorded = kmers.where(window).select(
-        F.lit(kmer_width).alias("w"), _packed_column(F.substring("kmer", 1, RANGE_SYMBOLS), RANGE_SYMBOLS).cast("int").alias("span"),
-        _packed_column(F.col("kmer"), kmer_width).alias("term"), "weight",
+        F.lit(kmer_width).alias("w"), _packed_column(F.col("kmer"), kmer_width).alias("term"), "weight",
     )
     counts = term_counts(reads, (width, kmer_width), recorded, {kmer_width: sieve_of(recorded.select("term"))})
     total = reads.where(F.col("seq_id").isNotNull() & F.col("sequence").isNotNull()).agg(F.count_distinct("seq_id").alias("total"))

@@ -95,21 +95,38 @@ SELECT DISTINCT kmer AS term, 'miscounted' AS mark FROM recorded LEFT JOIN seen
 """
 
 
+@_query
+def p4_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Occurrences and reads of every window of 10."""
+    return frequency.counted_terms(table(spark, sf_dir, "reads"))
+
+
+SQL["p4_counts"] = f"WITH {_FOLDED}, {_windows(10, 'w10')} SELECT win AS term, count(*) AS occurrences, count(DISTINCT seq_id) AS records FROM w10 GROUP BY win"
+
+
 @_query
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_stretches(table(spark, sf_dir, "reads"), table(spark, sf_dir, "ref_seqs"))
 
 
-SQL["p5_found"] = f"""
+_SHARED = f"""
 WITH {_FOLDED}, {_windows(64, "w64")},
 ref AS (SELECT ref_id, translate(upper(min(sequence)), 'U', 'T') AS s FROM ref_seqs WHERE sequence IS NOT NULL GROUP BY ref_id),
 r64 AS (SELECT DISTINCT substr(s, i + 1, 64) AS win FROM ref, LATERAL (SELECT unnest(range(0, length(s) - 63)) AS i)),
 several AS (SELECT win FROM w64 GROUP BY win HAVING count(DISTINCT seq_id) > 1 UNION SELECT win FROM r64),
 hits AS (SELECT seq_id, off FROM w64 WHERE win IN (SELECT win FROM several)),
 marked AS (SELECT seq_id, off, CASE WHEN off - lag(off) OVER (PARTITION BY seq_id ORDER BY off) <= 64 THEN 0 ELSE 1 END AS new FROM hits),
-runs AS (SELECT seq_id, off, sum(new) OVER (PARTITION BY seq_id ORDER BY off) AS run FROM marked)
-SELECT seq_id, min(off)::INT AS off, (max(off) + 64 - min(off))::INT AS len FROM runs GROUP BY seq_id, run
+runs AS (SELECT seq_id, off, sum(new) OVER (PARTITION BY seq_id ORDER BY off) AS run FROM marked),
+stretches AS (SELECT seq_id, min(off)::INT AS off, (max(off) + 64 - min(off))::INT AS len FROM runs GROUP BY seq_id, run)
 """
+SQL["p5_found"] = f"{_SHARED} SELECT seq_id, off, len FROM stretches"
+SQL["p5_share"] = f"{_SHARED} SELECT seq_id, length(s) AS length, coalesce((SELECT sum(len) FROM stretches t WHERE t.seq_id = folded.seq_id), 0)::BIGINT AS shared FROM folded"
+
+
+@_query
+def p5_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each read is shared with others."""
+    return spans.shared_share(table(spark, sf_dir, "reads"), table(spark, sf_dir, "ref_seqs"))
 
 
 @_query

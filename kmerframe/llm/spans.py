@@ -8,10 +8,14 @@
 2. Interval join. A span can be shared only if it lies in surviving compact windows of every hash function; the
    intervals of the functions are joined per record and place, and cut with each other.
 3. Verification. The surviving spans are packed whole (two bits a symbol, 64 symbols in two numbers, so equal
-   numbers are equal text) and counted by record; no pairs are made, however many records share a span.
-
-Whether two records share a token or span is told by its smallest and largest record, which are combined
-before the shuffle. The join back to the places is split by adaptive execution where one span is very common.
+   numbers are equal text), partitioned and sorted by text, and scanned once: a text of two records is shared. No pairs are
+   made, however many records share a span, and of a text the scan keeps only the places of its first record,
+   until a second one comes.
+
+Hot groups. Whether two records share a token is told by its smallest and largest record, which are combined before the
+shuffle. A span that several records of a batch hold is known to be shared before the shuffle: its places go on as
+intervals of their record, and of the span one row alone is sent to tell other batches. So a span in a third of all
+records costs a row per batch.
 """
 
 from __future__ import annotations
@@ -23,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kmerframe.functions.windows import bounded, mixed, packed, symbols
 from kmerframe.llm.reads import once
-from kmerframe.runtime import cut
+from kmerframe.llm.windows import mixed, packed, symbols
+from kmerframe.runtime import bounded, cut, shuffle_width
 
 WIDTH = 64
 TOKEN = 24
@@ -33,7 +37,10 @@ HASHES = 2
 BIN = 1024
 
 _COMPACT = pa.schema([("rec", pa.int64()), ("f", pa.int32()), ("token", pa.int64()), ("a", pa.int32()), ("b", pa.int32())])
-_PLACES = pa.schema([("rec", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("start", pa.int32())])
+#: A place of a text that only its record has in the batch, a text that several records have, and an interval of shared places.
+PLACE, WITNESS, INTERVAL = 0, 1, 2
+_PLACES = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("kind", pa.int8()), ("rec", pa.int64()), ("a", pa.int32()), ("b", pa.int32())])
+_INTERVALS = pa.schema([("rec", pa.int64()), ("a", pa.int32()), ("b", pa.int32())])
 
 
 def compact_windows(key: np.ndarray, low: np.ndarray, high: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -99,11 +106,50 @@ def _packed_spans(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.
         if not len(at):
             continue
         halves = packed(s.codes, half)
-        row = s.rows(at)
-        rec = batch.column(0).to_numpy()
-        yield pa.record_batch(
-            [pa.array(rec[row]), pa.array(halves[at]), pa.array(halves[at + width - half]), pa.array((at - s.starts[row]).astype(np.int32))], schema=_PLACES
-        )
+        row, k1, k2 = s.rows(at), halves[at], halves[at + width - half]
+        rec, start = batch.column(0).to_numpy()[row], (at - s.starts[row]).astype(np.int32)
+        order = np.lexsort((k2, k1))
+        first = np.flatnonzero(np.concatenate([[True], (np.diff(k1[order]) != 0) | (np.diff(k2[order]) != 0)]))
+        several = np.minimum.reduceat(rec[order], first) != np.maximum.reduceat(rec[order], first)
+        shared = np.empty(len(at), bool)
+        shared[order] = np.repeat(several, np.diff(np.append(first, len(at))))
+        # at is in order of rows and places, so runs of shared places are intervals of a record
+        here = np.flatnonzero(shared)
+        breaks = np.flatnonzero(np.diff(at[here]) != 1) if len(here) else np.zeros(0, np.int64)
+        breaks = np.union1d(breaks, np.flatnonzero(np.diff(row[here]) != 0)) if len(here) else breaks
+        low, high = (here[np.concatenate([[0], breaks + 1])], here[np.append(breaks, len(here) - 1)]) if len(here) else (here, here)
+        told, alone = order[first[several]], np.flatnonzero(~shared)
+        pick = np.concatenate([alone, told, low])
+        kind = np.repeat(np.array([PLACE, WITNESS, INTERVAL], np.int8), [len(alone), len(told), len(low)])
+        end = np.concatenate([start[alone], start[told], start[high]])
+        yield pa.record_batch([pa.array(k1[pick]), pa.array(k2[pick]), pa.array(kind), pa.array(rec[pick]), pa.array(start[pick]), pa.array(end)], schema=_PLACES)
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The intervals (rec, a, b) of shared places, from rows in order of text. A text may go on over many batches: what is held of it
+    is its key if it is known to be shared, else the places of its one record."""
+    held: list[np.ndarray] | None = None
+    known: tuple[int, int] | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if held is not None:
+            columns = [np.concatenate(x) for x in zip(held, columns, strict=True)]
+        k1, k2, kind, rec, a, b = columns
+        first = np.flatnonzero(np.concatenate([[True], (np.diff(k1) != 0) | (np.diff(k2) != 0)]))
+        ours = kind != INTERVAL
+        low = np.minimum.reduceat(np.where(ours, rec, np.iinfo(np.int64).max), first)
+        high = np.maximum.reduceat(np.where(ours, rec, np.iinfo(np.int64).min), first)
+        several = (low < high) | np.maximum.reduceat(kind == WITNESS, first)
+        if known == (k1[0], k2[0]):
+            several[0] = True
+        sizes = np.diff(np.append(first, len(k1)))
+        out = (kind == INTERVAL) | ((kind == PLACE) & np.repeat(several, sizes))
+        yield pa.record_batch([pa.array(rec[out]), pa.array(a[out]), pa.array(b[out])], schema=_INTERVALS)
+        known = (k1[-1], k2[-1]) if several[-1] else None
+        rest = (np.arange(len(k1)) >= first[-1]) & (kind == PLACE)
+        held = None if several[-1] or not rest.any() else [c[rest] for c in columns]
 
 
 def _in_several(df: DataFrame, *key: str) -> DataFrame:
@@ -137,13 +183,22 @@ def shared_stretches(reads: DataFrame, refs: DataFrame, width: int = WIDTH) -> D
             .select("rec", F.greatest("a", "c").alias("a"), F.least("b", "d").alias("b"))
         )
     spans = cut(spans.groupBy("rec").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
-    places = records.join(spans, "rec").select("rec", "s", "spans").mapInArrow(lambda x: _packed_spans(x, width), "rec long, k1 long, k2 long, start int")
-    hits = places.where("rec & 1 = 0").join(_in_several(places, "k1", "k2"), ["k1", "k2"], "left_semi")
-    by_place = Window.partitionBy("rec").orderBy("start")
+    places = records.join(spans, "rec").select("rec", "s", "spans").mapInArrow(lambda x: _packed_spans(x, width), "k1 long, k2 long, kind byte, rec long, a int, b int")
+    sorted_places = places.repartition(max(shuffle_width(reads.sparkSession), reads.sparkSession.sparkContext.defaultParallelism), "k1", "k2").sortWithinPartitions("k1", "k2")
+    hits = sorted_places.mapInArrow(_shared, "rec long, a int, b int").where("rec & 1 = 0")
+    by_place = Window.partitionBy("rec").orderBy("a", "b")
     runs = (
-        hits.select("rec", "start").withColumn("new", F.when(F.col("start") - F.lag("start").over(by_place) <= width, 0).otherwise(1))
+        hits.withColumn("new", F.when(F.col("a") - F.max("b").over(by_place.rowsBetween(Window.unboundedPreceding, -1)) <= width, 0).otherwise(1))
         .withColumn("run", F.sum("new").over(by_place))
     )
-    return runs.groupBy("rec", "run").agg(F.min("start").alias("off"), F.max("start").alias("end")).select(
+    return runs.groupBy("rec", "run").agg(F.min("a").alias("off"), F.max("b").alias("end")).select(
         F.shiftright("rec", 1).alias("seq_id"), F.col("off").cast("int").alias("off"), (F.col("end") + width - F.col("off")).cast("int").alias("len")
     )
+
+
+def shared_share(reads: DataFrame, refs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(seq_id, length, shared): of each read, its symbols and how many of them are shared (see shared_stretches); 0 for none. One row for
+    each seq_id with a sequence, the empty one included."""
+    stretches = shared_stretches(reads, refs, width).groupBy("seq_id").agg(F.sum("len").alias("shared"))
+    lengths = once(reads).select("seq_id", F.length("sequence").cast("long").alias("length"))
+    return lengths.join(stretches, "seq_id", "left").select("seq_id", "length", F.coalesce("shared", F.lit(0)).alias("shared"))

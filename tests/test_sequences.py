@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kmerframe.functions import alignment, windows
+from kmerframe.functions import alignment
 from kmerframe.functions import sequences as S
 
 
@@ -85,18 +85,3 @@ def test_alignment_of_tables(spark):
     df = spark.createDataFrame([(1, "ACGT", "ACGT"), (2, None, "A"), (3, "A" * 300, "A" * 700)], "id int, a string, b string")
     assert {r.id: r.score for r in alignment.with_scores(df, "a", "b").collect()} == {1: 20, 2: 0, 3: 1500}
     assert alignment.with_scores(df.limit(0), "a", "b").count() == 0
-
-
-def test_packed_windows():
-    import pyarrow as pa
-
-    s = windows.symbols(pa.array(["ACGTUacgNNtt", None, "", "éACG"]))
-    at, code = s.windows(3)
-    rows = s.rows(at)
-    assert windows.unpacked(code, 3).to_pylist() == ["ACG", "CGT", "GTT", "TTA", "TAC", "ACG", "ACG"]
-    assert rows.tolist() == [0] * 6 + [3] and (at - s.starts[rows]).tolist() == [0, 1, 2, 3, 4, 5, 1]
-    long = "".join(np.random.default_rng(0).choice(list("ACGT"), 100))
-    at, code = windows.symbols(pa.array([long])).windows(31)
-    assert windows.unpacked(code, 31).to_pylist() == [long[i : i + 31] for i in range(70)]
-    batch = pa.record_batch([pa.array(["A" * 10, None, "C" * 30, "G" * 5])], names=["s"])
-    assert [b.num_rows for b in windows.bounded(iter([batch]), 0, 12)] == [2, 1, 1]

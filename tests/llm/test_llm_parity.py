@@ -63,7 +63,7 @@ def test_shared_spans_over_batches():
         kind = rng.choice([spans.PLACE, spans.PLACE, spans.WITNESS, spans.INTERVAL], n).astype(np.int8)
         cuts = np.unique(np.concatenate([[0, n], rng.integers(0, n + 1, 4)]))
         columns = [k1, k1 * 3, kind, rec, at, at]
-        batches = [pa.record_batch([pa.array(c[a:b]) for c in columns], schema=spans._PLACES) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        batches = [pa.record_batch([pa.array(c[a:b]) for c in columns], names=spans._PLACES.names[:6]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         got = sorted(r["a"] for b in spans._shared(iter(batches)) for r in b.to_pylist())
         want = []
         for i in range(n):
@@ -71,3 +71,36 @@ def test_shared_spans_over_batches():
             if kind[i] == spans.INTERVAL or (kind[i] == spans.PLACE and (len({rec[j] for j in same}) > 1 or any(kind[j] == spans.WITNESS for j in same))):
                 want.append(i)
         assert got == want
+
+
+@pytest.mark.parametrize("heavy", [0, 5, 4096])
+def test_spans_of_heavy_tokens(spark, heavy):
+    """The same stretches, whether spans are gathered by token or go one by one."""
+    rng = random.Random(3)
+    common = "".join(rng.choices("ACGT", k=150))
+    rows = []
+    for i in range(50):
+        own = "".join(rng.choices("ACGT", k=200))
+        cut = rng.randrange(0, 80)
+        rows.append((i, own[:90] + (common[cut : cut + rng.randrange(50, 100)] if i % 3 else "") + own[90:]))
+    rows.append((50, common * 3))
+    df = spark.createDataFrame(rows, "seq_id long, sequence string")
+    none = spark.createDataFrame([], "ref_id long, sequence string")
+    got = sorted(tuple(r) for r in spans.shared_stretches(df, none, heavy=heavy).collect())
+    holders = defaultdict(set)
+    for i, s in rows:
+        for j in range(len(s) - 63):
+            holders[s[j : j + 64]].add(i)
+    want = []
+    for i, s in rows:
+        covered = [any(len(holders[s[j : j + 64]]) > 1 for j in range(max(0, p - 63), min(p, len(s) - 64) + 1)) for p in range(len(s))]
+        p = 0
+        while p < len(s):
+            if covered[p]:
+                end = p
+                while end < len(s) and covered[end]:
+                    end += 1
+                want.append((i, p, end - p))
+                p = end
+            p += 1
+    assert got == want and len(want) > 20

@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 from kmerframe.functions.sequences import common_prefix
 from kmerframe.runtime import cut
 
-MAX_STEPS = 64
-
 
 def read_graphs(reads: DataFrame, membership: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(graphs, nodes, edges): one graph per member, two nodes and one edge that carries the whole read."""
@@ -38,12 +36,12 @@ def edge_name(edge_id: Column, label: Column) -> Column:
     return F.when(label.isNull(), F.format_string("E%d &epsilon;", edge_id)).otherwise(F.format_string("E%d[%d]", edge_id, F.length(label)))
 
 
-def all_paths(edges: DataFrame, ends: DataFrame, max_steps: int = MAX_STEPS) -> DataFrame:
+def all_paths(edges: DataFrame, ends: DataFrame) -> DataFrame:
     """(graph_id, path, text): every way from start_node to end_node of ends(graph_id, start_node, end_node).
 
     path holds the ids of the edges with a label, in order; epsilon edges leave no trace, and ways of epsilons only are dropped.
     Parallel edges give ways of their own. A way ends where it first reaches the end, and passes no node twice, so cycles
-    end too. Each step joins all open ways of all graphs with the edges; more than max_steps steps raise.
+    end too. Each step joins all open ways of all graphs with the edges; there are as many steps as the longest way has edges.
     """
     edges = edges.select("graph_id", "edge_id", F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), "label")
     open_ways = ends.select(
@@ -51,7 +49,7 @@ def all_paths(edges: DataFrame, ends: DataFrame, max_steps: int = MAX_STEPS) ->
         F.array().cast("array<long>").alias("path"), F.lit("").alias("text"),
     )
     done: DataFrame | None = None
-    for _ in range(max_steps):
+    while True:
         step = open_ways.withColumnRenamed("at", "src").join(edges, ["graph_id", "src"]).where(~F.array_contains("seen", F.col("dst")))
         step = cut(
             step.select(
@@ -65,22 +63,20 @@ def all_paths(edges: DataFrame, ends: DataFrame, max_steps: int = MAX_STEPS) ->
         open_ways = step.where("at <> end")
         if open_ways.isEmpty():
             return done
-    raise ValueError(f"ways longer than {max_steps} edges")
 
 
-def epsilon_closure(edges: DataFrame, roots: DataFrame, down: bool = True, max_steps: int = MAX_STEPS) -> DataFrame:
+def epsilon_closure(edges: DataFrame, roots: DataFrame, down: bool = True) -> DataFrame:
     """(graph_id, root, node_id): nodes that epsilon edges lead to from roots(graph_id, root), the root included; down along the
     edges, or up against them."""
     here, there = ("src", "dst") if down else ("dst", "src")
     hops = edges.where("label IS NULL").select("graph_id", F.col(here).cast("long").alias("node_id"), F.col(there).cast("long").alias("next")).distinct()
     seen = frontier = cut(roots.select("graph_id", F.col("root").cast("long").alias("root"), F.col("root").cast("long").alias("node_id")).distinct())
-    for _ in range(max_steps):
+    while True:
         frontier = frontier.join(hops, ["graph_id", "node_id"]).select("graph_id", "root", F.col("next").alias("node_id")).distinct()
         frontier = cut(frontier.join(seen, ["graph_id", "root", "node_id"], "left_anti"))
         if frontier.isEmpty():
             return seen
         seen = seen.unionByName(frontier)
-    raise ValueError(f"epsilon ways longer than {max_steps} edges")
 
 
 def matching_edges(edges: DataFrame, roots: DataFrame, down: bool = True) -> DataFrame:

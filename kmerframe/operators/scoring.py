@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,21 +81,42 @@ def ranked_partners(joins: DataFrame, threshold: float, top: int) -> DataFrame:
     return both.withColumn("rank", F.row_number().over(Window.partitionBy("graph_id").orderBy(F.desc("norm_score"), "partner"))).where(F.col("rank") <= top)
 
 
+#: Pairs that one task may take in order, at most, when rounds accept less than a THIN-th of what is left.
+LAST_ROWS, THIN = 200_000, 16
+
+
+def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (gd_lo, gd_hi, ...) of which neither graph was in an accepted pair before."""
+    taken: set[int] = set()
+    for batch in batches:
+        keep = []
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            keep.append(a not in taken and b not in taken)
+            if keep[-1]:
+                taken.update((a, b))
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
 def greedy_matching(joins: DataFrame) -> DataFrame:
     """(gd_lo, gd_hi, norm_score): what is accepted when pairs are taken best first (then by ids) and each graph once.
 
     Done in rounds, all graphs at once: a pair that is the best left for both its graphs is accepted, and all pairs of these
-    graphs drop out. The result is that of the sequential order, as the order is total. Rounds end when no pair is left.
+    graphs drop out. The result is that of the sequential order, as the order is total. Rounds end when no pair is left. A long chain of
+    rising scores gives one pair a round; once a round accepts less than a THIN-th of what is left, and no more than LAST_ROWS pairs are
+    left, these are taken in order by one task. More than that go on in rounds.
     """
     left = cut(joins.select("gd_lo", "gd_hi", "norm_score"))
     done: DataFrame | None = None
     order = F.struct("norm_score", (-F.col("gd_lo")).alias("x"), (-F.col("gd_hi")).alias("y"))
-    while not left.isEmpty():
+    while rows := left.count():
         ends = left.select(F.col("gd_lo").alias("g"), order.alias("o")).unionByName(left.select(F.col("gd_hi").alias("g"), order.alias("o")))
         tops = ends.groupBy("g").agg(F.max("o").alias("o"))
         agreed = tops.groupBy("o").agg(F.count("*").alias("n")).where("n = 2")
         accepted = cut(agreed.select((-F.col("o.x")).alias("gd_lo"), (-F.col("o.y")).alias("gd_hi"), F.col("o.norm_score").alias("norm_score")))
         done = accepted if done is None else done.unionByName(accepted)
         taken = accepted.select(F.col("gd_lo").alias("t")).unionByName(accepted.select(F.col("gd_hi").alias("t")))
+        if rows <= LAST_ROWS and accepted.count() * THIN < rows:
+            left = left.join(taken, F.col("gd_lo") == F.col("t"), "left_anti").join(taken, F.col("gd_hi") == F.col("t"), "left_anti")
+            return done.unionByName(left.repartition(1).sortWithinPartitions(F.desc("norm_score"), "gd_lo", "gd_hi").mapInArrow(_in_order, left.schema))
         left = cut(left.join(taken, F.col("gd_lo") == F.col("t"), "left_anti").join(taken, F.col("gd_hi") == F.col("t"), "left_anti"))
     return left if done is None else done

@@ -13,14 +13,13 @@ import time
 import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kmerframe.config import AssemblerConfig, AssemblyState, AssemblySubState, SequenceType
 from kmerframe.functions import alphabets
 from kmerframe.functions.alignment import with_scores
-from kmerframe.functions.sequences import cosine
-from kmerframe.operators import graphs, reads, scoring, search
+from kmerframe.operators import graphs, lists, reads, scoring, search
 from kmerframe.operators.embedding import Embedder, OnnxEmbedder, SpectrumEmbedder
 from kmerframe.runtime import cut
 from kmerframe.sources.cache import embedded_once
@@ -44,20 +43,17 @@ class Status:
     error: str | None = None
 
 
-def neighbours_of(embeddings: DataFrame, k: int, exact: bool, dim: int) -> DataFrame:
+def neighbours_of(embeddings: DataFrame, k: int, exact: bool) -> DataFrame:
     """(a, b, dist, rank) of k-mers (id, embedding): the k nearest, without the k-mer itself, ties by id.
 
-    exact compares all rows in blocks, whose work grows with the square of the rows; otherwise only rows that share a bucket
-    of random hyperplanes are compared, which is approximate.
+    exact compares all rows in blocks, whose work grows with the square of the rows; otherwise rows are compared with those of the
+    nearest lists around centroids, which is approximate, with a number of copies and lists for each row that does not grow.
     """
     if exact:
         found = search.exact_neighbours(embeddings, embeddings, k)
-        return found.select(F.col("query").alias("a"), F.col("neighbour").alias("b"), (1 - F.col("cosine")).alias("dist"), "rank")
-    pairs = search.hashed_candidates(embeddings, dim=dim)
-    x, y = embeddings.toDF("a", "ea"), embeddings.toDF("b", "eb")
-    near = cut(pairs.join(x, "a").join(y, "b").select("a", "b", (1 - F.round(cosine(F.col("ea"), F.col("eb")), 9)).alias("dist")))
-    both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "dist"))
-    return both.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy("dist", "b"))).where(F.col("rank") <= k)
+    else:
+        found = lists.list_neighbours(embeddings, k)
+    return found.select(F.col("query").alias("a"), F.col("neighbour").alias("b"), (1 - F.col("cosine")).alias("dist"), "rank")
 
 
 class Assembler:
@@ -149,8 +145,7 @@ class Assembler:
         s.kmers = kmers.count()
         r["embeddings"] = cut(kmers.select("id", "kmer").join(self._embedded(kmers.select("kmer")), "kmer").select("id", "embedding"))
         self._phase(AssemblySubState.CANDIDATES)
-        first = r["embeddings"].first()
-        r["candidates"] = cut(neighbours_of(r["embeddings"], self.config.knn_top_k - 1, self.exact, len(first["embedding"]) if first else 1))
+        r["candidates"] = cut(neighbours_of(r["embeddings"], self.config.knn_top_k - 1, self.exact))
         candidates = r["candidates"].select("a", "b")
         r["alignments"] = cut(scoring.alignments(candidates, kmers.select("id", "kmer")))
         s.alignments = r["alignments"].count()

@@ -8,9 +8,10 @@ of table entries rank the list, and the best few are compared exactly in double
 the lists visited are merged per vector.
 
 Skew. Vectors that are equal to the last bit form a class, of which one is indexed; a class, however large, adds its k + 1
-smallest ids only, since ties go to the smaller id. A list that is still large is cut into blocks of BLOCK_ROWS that
-different tasks search; the queries of a list are cut into chunks too, so no task holds a whole list. The lists' sizes
-(bounded by the number of centroids) are the only thing that reaches the driver, besides the models.
+smallest ids only, since ties go to the smaller id. A list of more than twice BLOCK_ROWS vectors has centroids of its own, fitted on a bounded
+sample of it, that cut it into blocks of about BLOCK_ROWS, which different tasks search; a query visits the BLOCK_PROBES nearest blocks
+of such a list. So a query is copied at most PROBES * BLOCK_PROBES times, however long the lists grow. The queries of a block are
+cut into chunks too. The models and the lists' sizes (bounded by the number of centroids) are all that reaches the driver.
 """
 
 from __future__ import annotations
@@ -27,8 +28,9 @@ from pyspark.sql import functions as F
 from kmerframe.runtime import cut, fanned, shuffle_width
 
 DIM = 64
-#: Rows per configuration, at most about, that the centroids and codebooks are fitted on.
+#: Rows per configuration, at most about, that the centroids and codebooks are fitted on: so many, or SAMPLE_TIMES for each list.
 SAMPLE_ROWS = 20_000
+SAMPLE_TIMES = 16
 CELL_ROWS = 256
 MAX_CELLS = 4096
 SUBS = 16
@@ -36,6 +38,7 @@ CODES = 256
 PROBES = 4
 ROUNDS = 8
 BLOCK_ROWS = 2048
+BLOCK_PROBES = 4
 QUERY_ROWS = 8192
 #: How many of a block's best by table sums are compared exactly: this many times k, and at least SHORT_LEAST. Larger lists
 #: have more blocks, so the share that is compared does not shrink as the data grow.
@@ -135,6 +138,29 @@ def _assigned(batches: Iterator[pa.RecordBatch], models: dict) -> Iterator[pa.Re
             yield pa.record_batch([*batch.columns, _fixed(codes), lists], names=["vec_id", "config_id", "k", "v", "codes", "cells"])
 
 
+def _split(rows: pd.DataFrame) -> pd.DataFrame:
+    x = _unit(np.frombuffer(b"".join(rows.sort_values("vec_id")["v"]), np.float32).reshape(-1, DIM)).astype(np.float32)
+    return pd.DataFrame({"config_id": rows["config_id"].iloc[:1], "cell": rows["cell"].iloc[:1], "inner": [k_means(x, int(rows["blocks"].iloc[0]), 99).tobytes()]})
+
+
+def _in_blocks(batches: Iterator[pa.RecordBatch], many: int) -> Iterator[pa.RecordBatch]:
+    """Rows (config_id, cell, v, inner, ...) with `block` in the place of inner, once for each of the nearest blocks of their list; block 0
+    where the list has no centroids of its own."""
+    for batch in batches:
+        inner, x = batch.column(3), _unit(_vectors(batch.column(2))).astype(np.float32)
+        whole = inner.is_null().to_numpy(zero_copy_only=False)
+        at, block = [np.flatnonzero(whole)], [np.zeros(int(whole.sum()), np.int32)]
+        place = batch.column(0).to_numpy().astype(np.int64) << 32 | batch.column(1).to_numpy()
+        for c in np.unique(place[~whole]):
+            those = np.flatnonzero((place == c) & ~whole)
+            near = _nearest(x[those], np.frombuffer(inner[int(those[0])].as_py(), np.float32).reshape(-1, DIM), many)
+            at.append(np.repeat(those, near.shape[1]))
+            block.append(near.ravel().astype(np.int32))
+        pick = pa.array(np.concatenate(at))
+        names = [*batch.schema.names[:3], "block", *batch.schema.names[4:]]
+        yield pa.record_batch([*(c.take(pick) for c in batch.columns[:3]), pa.array(np.concatenate(block)), *(c.take(pick) for c in batch.columns[4:])], names=names)
+
+
 def _search(key: tuple, members: pd.DataFrame, queries: pd.DataFrame, models: dict) -> pd.DataFrame:
     """The k best of one block of a list for the queries that visit it."""
     empty = pd.DataFrame({"q": pd.Series(dtype="int64"), "ids": pd.Series(dtype=object), "far": pd.Series(dtype=object)})
@@ -187,7 +213,7 @@ def nearest(vectors: DataFrame, configs: DataFrame) -> DataFrame:
     copies = cut(mark.join(classes, ["config_id", "h1", "h2"]).select("vec_id", "rep", "k", "n"))
     single = rows.join(copies.where("vec_id <> rep").select("vec_id"), "vec_id", "left_anti")
     totals = single.groupBy("config_id").agg(F.count("*").alias("total"))
-    share = F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < F.ceil(F.lit(1_000_000.0) * SAMPLE_ROWS / F.col("total"))
+    share = F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < F.ceil(F.lit(1_000_000.0) * F.greatest(F.lit(SAMPLE_ROWS), F.least(F.lit(MAX_CELLS), F.col("total") / CELL_ROWS) * SAMPLE_TIMES) / F.col("total"))
     sample = single.join(totals, "config_id").where(share)
     models = {x["config_id"]: pickle.loads(x["model"]) for x in sample.groupBy("config_id").applyInPandas(_fit, "config_id int, model binary").collect()}
     held = spark.sparkContext.broadcast(models)
@@ -195,20 +221,29 @@ def nearest(vectors: DataFrame, configs: DataFrame) -> DataFrame:
 
     visits = index.select("config_id", F.explode("cells").alias("cell")).groupBy("config_id", "cell").agg(F.count("*").alias("queries"))
     own = index.groupBy("config_id", F.col("cells")[0].alias("cell")).agg(F.count("*").alias("members"))
-    sizes = own.join(visits, ["config_id", "cell"]).select(
-        "config_id", "cell", F.ceil(F.col("members") / BLOCK_ROWS).cast("int").alias("blocks"), F.ceil(F.col("queries") / QUERY_ROWS).cast("int").alias("chunks")
-    )
+    blocks = F.when(F.col("members") > 2 * BLOCK_ROWS, F.ceil(F.col("members") / BLOCK_ROWS)).otherwise(1)
+    # of a list's blocks a query visits some
+    each = F.col("queries") * F.least(F.lit(BLOCK_PROBES), F.col("blocks")) / F.col("blocks")
+    sizes = own.join(visits, ["config_id", "cell"]).withColumn("blocks", blocks.cast("int")).select("config_id", "cell", "members", "blocks", F.ceil(each / QUERY_ROWS).cast("int").alias("chunks"))
     sizes = F.broadcast(cut(sizes))  # a row per centroid, at most MAX_CELLS for a configuration
+    long = index.withColumn("cell", F.col("cells")[0]).join(sizes.where("blocks > 1"), ["config_id", "cell"])
+    part = F.pmod(F.xxhash64(F.lit("inner"), "vec_id"), F.lit(1_000_000)) < F.ceil(F.lit(1_000_000.0) * SAMPLE_TIMES * F.col("blocks") / F.col("members"))
+    inner = cut(long.where(part).select("config_id", "cell", "blocks", "vec_id", "v").groupBy("config_id", "cell").applyInPandas(_split, "config_id int, cell int, inner binary"))
     spread = lambda column, n: F.pmod(F.xxhash64(column), n).cast("int")
-    members = (
-        index.withColumn("cell", F.col("cells")[0]).join(sizes, ["config_id", "cell"]).withColumn("block", spread("vec_id", F.col("blocks")))
-        .select("config_id", "cell", "block", F.explode(F.expr("sequence(0, chunks - 1)")).alias("chunk"), "vec_id", "v", "codes")
-    )
-    queries = (
-        index.select("config_id", "k", "vec_id", "v", F.explode("cells").alias("cell")).join(sizes, ["config_id", "cell"])
-        .withColumn("chunk", spread("vec_id", F.col("chunks")))
-        .select("config_id", "cell", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), "chunk", "k", "vec_id", "v")
-    )
+    any_long = not inner.isEmpty()
+
+    def in_blocks(rows: DataFrame, many: int, *rest: str) -> DataFrame:
+        """rows with `block`; without long lists all are in block 0, and no Python is needed."""
+        if not any_long:
+            return rows.select("config_id", "cell", "v", F.lit(0).alias("block"), *rest)
+        rows = rows.join(inner, ["config_id", "cell"], "left").select("config_id", "cell", "v", "inner", *rest)
+        kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+        return rows.mapInArrow(lambda b: _in_blocks(b, many), ", ".join(f"{c} {'int' if c == 'block' else kinds[c]}" for c in ("config_id", "cell", "v", "block", *rest)))
+
+    at_home = index.withColumn("cell", F.col("cells")[0]).join(sizes, ["config_id", "cell"])
+    members = in_blocks(at_home, 1, "chunks", "vec_id", "codes").select("config_id", "cell", "block", F.explode(F.expr("sequence(0, chunks - 1)")).alias("chunk"), "vec_id", "v", "codes")
+    visiting = index.select("config_id", "k", "vec_id", "v", F.explode("cells").alias("cell")).join(sizes, ["config_id", "cell"])
+    queries = in_blocks(visiting, BLOCK_PROBES, "chunks", "k", "vec_id").select("config_id", "cell", "block", spread("vec_id", F.col("chunks")).alias("chunk"), "k", "vec_id", "v")
     queries = queries.toDF("q_config", "q_cell", "q_block", "q_chunk", "k", "q", "qv")
     found = members.groupBy("config_id", "cell", "block", "chunk").cogroup(queries.groupBy("q_config", "q_cell", "q_block", "q_chunk")).applyInPandas(
         lambda at, m, q: _search(at, m, q, held.value), "q long, ids array<long>, far array<double>"

@@ -19,11 +19,15 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, InputPartition, WriterCommitMessage
 
 SCHEMA = "path string, ordinal long, name string, description string, data string"
 SPLIT_BYTES = 64 << 20
+#: Symbols of a batch of records, at most about, and records.
+BATCH_SYMBOLS, BATCH_RECORDS = 1_000_000, 8192
+_ARROW = pa.schema([("path", pa.string()), ("ordinal", pa.int64()), ("name", pa.string()), ("description", pa.string()), ("data", pa.string())])
 _SPACE = b" \t"
 
 
@@ -34,9 +38,17 @@ class Split(InputPartition):
     end: int
 
 
+def _mounted(path: str) -> str:
+    """A path without the scheme of mounted files; other file systems are refused, as Python can't open them."""
+    path = path.removeprefix("file://").removeprefix("file:")
+    if "://" in path:
+        raise ValueError(f"FASTA is read and written on mounted file systems only: {path}")
+    return path
+
+
 def files_of(path: str) -> list[str]:
     """The files of a path, a folder or a pattern; hidden ones and those with a leading underscore are left out."""
-    path = path.removeprefix("file://").removeprefix("file:")
+    path = _mounted(path)
     found = sorted(p for x in glob.glob(path) for p in (glob.glob(f"{glob.escape(x)}/**", recursive=True) if os.path.isdir(x) else [x]))
     return [p for p in found if os.path.isfile(p) and not os.path.basename(p).startswith((".", "_"))]
 
@@ -89,6 +101,20 @@ def records(path: str, start: int = 0, end: int | None = None, permissive: bool
                 yield path, begun, _text(name), _text(description), _text(joined)
 
 
+def batches(rows: Iterator[tuple[str, int, str, str, str]]) -> Iterator[pa.RecordBatch]:
+    """Records as Arrow batches of a bounded size."""
+    held: list[tuple] = []
+    symbols = 0
+    for row in rows:
+        held.append(row)
+        symbols += len(row[4])
+        if symbols >= BATCH_SYMBOLS or len(held) >= BATCH_RECORDS:
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*held, strict=True), _ARROW.types, strict=True)], schema=_ARROW)
+            held, symbols = [], 0
+    if held:
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*held, strict=True), _ARROW.types, strict=True)], schema=_ARROW)
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.permissive = options["path"], options.get("mode", "FAILFAST").upper() == "PERMISSIVE"
@@ -101,9 +127,9 @@ class _Reader(DataSourceReader):
     def splits(self, files: list[str]) -> list[Split]:
         return [Split(p, s, min(size, s + self.split)) for p in files for size in [os.path.getsize(p)] for s in range(0, size, self.split)] or [Split("", 0, 0)]
 
-    def read(self, partition: Split) -> Iterator[tuple]:
+    def read(self, partition: Split) -> Iterator[pa.RecordBatch]:
         if partition.path:
-            yield from records(partition.path, partition.start, partition.end, self.permissive, self.last_empty)
+            yield from batches(records(partition.path, partition.start, partition.end, self.permissive, self.last_empty))
 
 
 class _Stream(DataSourceStreamReader):
@@ -129,7 +155,7 @@ class _Stream(DataSourceStreamReader):
         low, high = (int(start["time"]), start["path"]), (int(end["time"]), end["path"])
         return self.reader.splits([p for t, p in self._known() if low < (t, p) <= high])
 
-    def read(self, partition: Split) -> Iterator[tuple]:
+    def read(self, partition: Split) -> Iterator[pa.RecordBatch]:
         return self.reader.read(partition)
 
     def commit(self, end: dict) -> None:
@@ -142,11 +168,11 @@ class _Written(WriterCommitMessage):
     final: str
 
 
-class _Writer(DataSourceWriter):
+class _Writer(DataSourceArrowWriter):
     """Writes name, description and data; each task a file of its own, which gets its name when the job commits."""
 
     def __init__(self, options: dict, columns: list[str], overwrite: bool):
-        self.folder = options["path"].removeprefix("file://").removeprefix("file:")
+        self.folder = _mounted(options["path"])
         self.width = int(options.get("linewidth", options.get("lineWidth", 70)))
         self.columns, self.overwrite = columns, overwrite
         missing = {"name", "data"} - set(columns)
@@ -155,12 +181,14 @@ class _Writer(DataSourceWriter):
         os.makedirs(self.folder, exist_ok=True)
         self.before = files_of(self.folder) if overwrite else []
 
-    def write(self, rows: Iterator) -> _Written:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
         final = os.path.join(self.folder, f"part-{uuid.uuid4().hex}.fasta")
         temporary = os.path.join(self.folder, f"_{uuid.uuid4().hex}")
         with open(temporary, "wb") as out:
-            for row in rows:
-                out.write(_record(row["name"], row["description"] if "description" in self.columns else None, row["data"], self.width))
+            for batch in iterator:
+                column = lambda name: batch.column(self.columns.index(name)).to_pylist() if name in self.columns else [None] * batch.num_rows  # noqa: B023, E731
+                for name, description, data in zip(column("name"), column("description"), column("data"), strict=True):
+                    out.write(_record(name, description, data, self.width))
         return _Written(temporary, final)
 
     def commit(self, messages: list) -> None:

@@ -50,3 +50,25 @@ def test_core_stands_without_llm():
     for p in root.rglob("*.py"):
         if "llm" not in p.relative_to(root).parts:
             assert not re.search(r"kmerframe\.llm|from \.+llm", p.read_text()), p
+
+
+def test_core_stands_without_llm_folders(tmp_path):
+    """The library with the subpackage deleted: everything imports, and the entry gives the core's queries and their SQL."""
+    import pathlib
+    import shutil
+    import subprocess
+    import sys
+
+    root = pathlib.Path(entry.__file__).parent
+    shutil.copytree(root / "kmerframe", tmp_path / "kmerframe", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    code = """
+import importlib, pkgutil, kmerframe, __spark_entry__ as e
+for m in pkgutil.walk_packages(kmerframe.__path__, "kmerframe."):
+    importlib.import_module(m.name)
+print(len(e.queries()), sum(n.startswith("p") and n[1].isdigit() for n in e.queries()), set(e.oracle_sql()) <= set(e.queries()))
+"""
+    said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    assert said.returncode == 0, said.stderr
+    here = [n for n in entry.queries() if not (n.startswith("p") and n[1].isdigit())]
+    assert said.stdout.split() == [str(len(here)), "0", "True"]

@@ -44,6 +44,8 @@ QUERY_ROWS = 8192
 #: have more blocks, so the share that is compared does not shrink as the data grow.
 SHORT_TIMES = 16
 SHORT_LEAST = 192
+#: Of them, those beyond the k best in single precision that are compared in double precision too.
+SURE = 24
 
 
 def _nearest(x: np.ndarray, centroids: np.ndarray, many: int = 1) -> np.ndarray:
@@ -172,6 +174,7 @@ def _search(key: tuple, members: pd.DataFrame, queries: pd.DataFrame, models: di
     order = ids.argsort()
     ids = ids[order]
     exact = _unit(np.frombuffer(b"".join(members["v"]), np.float32).reshape(-1, DIM))[order]
+    single = exact.astype(np.float32)
     codes = np.frombuffer(b"".join(members["codes"]), np.uint8).reshape(-1, SUBS)[order]
     k = int(queries["k"].iloc[0])
     short = min(len(ids), max(SHORT_LEAST, SHORT_TIMES * k))
@@ -185,9 +188,13 @@ def _search(key: tuple, members: pd.DataFrame, queries: pd.DataFrame, models: di
         if short < len(ids):
             score = np.zeros((len(q), len(ids)), np.float32)
             for m, book in enumerate(books):
-                score += (q[:, m * width : (m + 1) * width] @ book.T)[:, codes[:, m]]
-            chosen = np.sort(np.argpartition(-score, short - 1, axis=1)[:, :short], axis=1)
-            far = -np.einsum("qd,qrd->qr", unit, exact[chosen])
+                score += (q[:, m * width : (m + 1) * width] @ book.T).take(codes[:, m], axis=1)
+            chosen = np.argpartition(score, len(ids) - short, axis=1)[:, len(ids) - short :]
+            # single precision decides only what is far from the k best, the rest is compared in double precision
+            near = np.matmul(single[chosen], q[:, :, None])[:, :, 0]
+            last = min(short, k + SURE)
+            chosen = np.sort(np.take_along_axis(chosen, np.argpartition(near, short - last, axis=1)[:, short - last :], 1), axis=1)
+            far = -np.matmul(exact[chosen], unit[:, :, None])[:, :, 0]
         else:
             chosen = np.broadcast_to(np.arange(len(ids)), (len(q), len(ids)))
             far = -(unit @ exact.T)

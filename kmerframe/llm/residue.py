@@ -46,7 +46,7 @@ _CERTAIN = (
     rf"<<{_ID}>>", rf"&lt;{_ID}&gt;", rf"<{_ASK} {_ID}>", rf"[\[［【]{_ASK}\b[^\]\n]{{0,60}}[\]］】](?!\()", r"(?-i:\b(?:INSERT|ENTER|ADD|TYPE|PUT|PASTE|WRITE)(?: [A-Z]+){1,5} HERE\b)",
 )
 _LIKELY = (
-    rf"(?<![\w\\{{$#])\{{\s*{_ID}\s*\}}(?!\}})", r"%(?-i:[A-ZÀ-Þ][A-ZÀ-Þ0-9_]{2,})%", rf"\[\[{_ID}\]\]", rf"«\s?{_ID}\s?»", rf"(?<![\w<])<{_ID}>(?!>)", rf"(?<!\w)__{_ID}__(?!\w)",
+    rf"(?<![\w\\{{$#])\{{\s*{_ID}\s*\}}(?!\}})", r"%(?-i:[A-ZÀ-Þ][A-ZÀ-Þ0-9_]{2,})%", rf"\[\[{_ID}\]\]", rf"«\s?{_ID}\s?»", rf"(?<![\w<])<{_ID}>(?!>)", r"(?<!\w)__[^\W\d_]\w*?__(?!\w)",
     r"(?<![\w\]!\[])\[(?-i:[A-ZÀ-Þ])[\w /-]{1,30}\](?![(\[:\]])",
 )
 _TAGS = r"</?(?:table|thead|tbody|tr|td|th|html|head|title|body|center|div|span|p|b|i|em|strong|br|hr|img|a|ul|ol|li|pre|code|sub|sup|h\d|noscript|details|summary|font|iframe|style|script|svg|u|s|kbd|small|big|main|nav|section|header|footer)\b[^<>]*>"
@@ -68,6 +68,8 @@ FIELD = re.compile(
     r"(?i)_|\b(?:(?:first|last|full|user|file|course|company|customer|student|team|project)[ -]?names?|names?|titles?|subtitle|authors?|dates?|years?|months?|weeks?|day|time|emails?|e-mail|phone|address|city|country|numbers?|ids?|slug|summary|abstract|descriptions?|objectives?|goals?|topics?|subjects?|courses?|sections?|chapters?|teams?|groups?|projects?|contacts?|licen[sc]es?|versions?|keywords?|data ?sources?|datasets?|instructors?|teachers?|students?|institutions?|organi[sz]ations?|companies|company|customers?|products?|prices?|amounts?|url|links?|text|content|body|value|placeholder|department|university|school"
     r"|kurs|datum|titel|autor\w*|thema|jahr|nachname|vorname|auteurs?|titre|nom|prénom|année|cours|fecha|título|nombre|curso|año|alumn\w|data|nome|ano|aluno|titolo|autore|anno|corso|naam|jaar|vak|imię|nazwisko|tytuł|rok)\b|имя|дата|тема|автор|氏名|名前|日付|题目|姓名|日期|标题"
 )
+#: A likely slot that is the whole of a title or value needs no field's name if it is one word in lower case.
+PLAIN_NAME = re.compile(r"(?:\[\[|\{)\s*[a-zß-ÿа-я]\w*\s*(?:\]\]|\})")
 DUNDER = frozenset("init eq ne lt le gt ge hash str repr call len iter next name main doc dict class file all new del add sub mul enter exit getitem setitem getattr setattr slots version future module bool contains path author".split())
 
 PROMPTS = re.compile(
@@ -125,7 +127,7 @@ _MATTER = (
 _PLACE = r"(?:pages?|sites?|website|url|address|files?|notebooks?|documents?|resources?|services?|servers?|gateways?|kernel|repositor\w+|projects?|links?|requests?|host|connection|viewer|code\ block|content|preview|seite|dienst|datei|server\w*|página|sitio|servicio|archivo|servidor|serviço|arquivo|pagina|sito|servizio|risorsa|bestand|strona|stron[ąęy]|usługa|serwer|plik|страниц\w*|сервис|сервер|файл|sidan?|tjänsten|sayfa|sunucu|fichier|serveur|carnet|cuaderno|caderno|ページ|サーバー|サービス|ファイル|页面|服务器?|文件|网页|網頁|페이지|서버|서비스)"
 _GONE = (
     r"(?:not\ (?:be\ )?found|unavailable|n['’]t\ (?:here|exist|available|be)|not\ (?:exist|available|reachable|be|responding)|no\ longer|has\ (?:moved|been)|moved|deleted|removed|\bprivate|\bdown\b|maintenance|overload|time[d-]?\ ?out|too\ large|broken|gave\ up|went\ wrong|refused|nicht\ (?:gefunden|verfügbar|erreichbar|angezeigt|dargestellt)|gelöscht|wartung|überlast|introuvable|indisponible|n['’]existe|pas\ (?:disponible|trouvé)"
-    r"|no\ (?:existe|encontrad|disponible|se\ (?:encontr|ha\ encontr|puede|pudo))|mantenimiento|não\ (?:encontrad|existe|foi|está|pôde)|indisponível|manutenção|non\ (?:è\ )?(?:stata\ )?(?:trovat|disponibil|esist|raggiungi)|manutenzione|niet\ (?:gevonden|beschikbaar|bereikbaar|bestaat)|onderhoud|nie\ (?:znalezion|istnieje|odnalezion|została)|niedostępn|konserwacj|не\ (?:найден|существует|доступ|отвечает)|недоступ|обслуживани|hittades\ inte|inte\ (?:tillgänglig|hittas)|bulunamadı|kullanılamıyor"
+    r"|no\ (?:(?:está|es|esta)\ )?(?:existe|encontrad|disponible|accesible|se\ (?:encontr|ha\ encontr|puede|pudo))|mantenimiento|não\ (?:encontrad|existe|foi|está|pôde)|indisponível|manutenção|non\ (?:è\ )?(?:stata\ )?(?:trovat|disponibil|esist|raggiungi)|manutenzione|niet\ (?:gevonden|beschikbaar|bereikbaar|bestaat)|onderhoud|nie\ (?:znalezion|istnieje|odnalezion|została)|niedostępn|konserwacj|не\ (?:найден|существует|доступ|отвечает)|недоступ|обслуживани|hittades\ inte|inte\ (?:tillgänglig|hittas)|bulunamadı|kullanılamıyor"
     r"|見つかりません|存在しません|利用できません|表示できません|メンテナンス|不存在|未找到|找不到|无法|不可用|维护|찾을\ 수\ 없|없습니다|점검)"
 )
 _RIGHT = r"(?:access|permissions?|authori[sz]\w+|zugriff|zugang|berechtigung\w*|accès|autorisation|acceso|permisos?|acesso|permissão|accesso|permess[oi]|autorizza\w+|toegang|rechten|dostęp\w*|uprawnie\w+|доступ\w*|прав\b|åtkomst|behörighet|erişim|アクセス|権限|访问|权限|접근|권한)"
@@ -259,7 +261,7 @@ def has_slot(lines: list[str]) -> bool:
             bare = line.strip()
             if SLOT_SIGNS.search(bare) and (TITLE.match(bare) or KEYED.match(bare)):
                 found = ANY.findall(bare)
-                if CERTAIN.search(bare) or any(map(_is_field, found)):
+                if CERTAIN.search(bare) or any(_is_field(x) or PLAIN_NAME.fullmatch(x) for x in found):
                     return True
         text = TAG.sub(" ", QUOTED.sub(" ", "\n".join(block)))
         slots = CERTAIN.findall(text)

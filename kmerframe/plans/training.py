@@ -74,7 +74,7 @@ NEAR = f"{USABLE}, near AS (SELECT a.vec_id, {sql_cosine('a.e', 'b.e')} AS near
 
 
 def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.vector_pairs(usable(spark, sf_dir).select("vec_id", "embedding")).select("vec_id", "near")
+    return T.vector_pairs(usable(spark, sf_dir, "embedding").select("vec_id", "embedding")).select("vec_id", "near")
 
 
 @query("similarity_histogram", f"""
@@ -132,7 +132,7 @@ triples AS (SELECT n // 3 AS triple, max(CASE WHEN n % 3 = 0 THEN vec_id END) AS
 
 
 def _sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.sampled_triples(usable(spark, sf_dir).where("kmer IS NOT NULL"), "vec_id")
+    return T.sampled_triples(usable(spark, sf_dir, "embedding").where("kmer IS NOT NULL"), "vec_id")
 
 
 @query("sampled_triples", f"WITH {_SAMPLED} SELECT * FROM triples")
@@ -151,7 +151,7 @@ SELECT count(*) AS triples, sum((sign(ap - an) = sign(np - nn))::INT)::BIGINT AS
 """)
 def evaluation_of_sampled_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An evaluation pass over random triples: ranking matches, errors, and the loss per row against scores scaled by 80."""
-    rows = usable(spark, sf_dir).where("kmer IS NOT NULL").select("vec_id", "kmer", "embedding")
+    rows = usable(spark, sf_dir, "embedding").where("kmer IS NOT NULL").select("vec_id", "kmer", "embedding")
     one = lambda name: rows.toDF(name, f"kmer_{name}", f"e_{name}")
     full = _sampled(spark, sf_dir).join(one("anchor"), "anchor").join(one("positive"), "positive").join(one("negative"), "negative")
     near = lambda other: F.round(cosine(F.col("e_anchor"), F.col(f"e_{other}")), 9)

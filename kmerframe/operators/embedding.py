@@ -8,11 +8,11 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kmerframe.functions.sequences import kmers, normalised
-from kmerframe.runtime import over_all_cores
+from kmerframe.runtime import bounded, over_all_cores
 
 
 class Embedder(Protocol):
@@ -21,8 +21,30 @@ class Embedder(Protocol):
     def __call__(self, distinct_kmers: DataFrame) -> DataFrame: ...
 
 
-def _equals(text: str):
-    return lambda g: g == text
+#: Counts that are held at once, so that memory has a bound whatever q is.
+COUNTS = 1 << 20
+_CODE = np.full(256, -1, np.int64)
+for _i, _c in enumerate("ACGT"):
+    _CODE[ord(_c)] = _i
+_CODE[ord("U")] = _CODE[ord("T")]
+
+
+def spectra(texts: pa.Array, q: int) -> np.ndarray:
+    """(n, 4^q) counts of the q-grams over A, C, G, T in each text; U reads as T, grams with another symbol don't count, and a null text
+    counts as empty. In UTF-8 no byte of a longer symbol is a letter, so bytes are looked at."""
+    lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = lengths.cumsum()
+    raw = np.frombuffer("".join(x for x in texts.to_pylist() if x).encode(), np.uint8)
+    code = _CODE[raw]
+    n = max(0, len(raw) - q + 1)
+    gram, known = np.zeros(n, np.int64), np.ones(n, bool)
+    for i in range(q):
+        here = code[i : i + n]
+        gram = 4 * gram + here
+        known &= here >= 0
+    row = np.repeat(np.arange(len(texts)), lengths)[:n]
+    known &= np.arange(n) + q <= ends[row] if n else known
+    return np.bincount(row[known] * 4**q + gram[known], minlength=len(texts) * 4**q).reshape(len(texts), 4**q)
 
 
 class SpectrumEmbedder:
@@ -33,9 +55,19 @@ class SpectrumEmbedder:
         self.grams = ["".join(x) for x in product("ACGT", repeat=q)]
 
     def __call__(self, distinct_kmers: DataFrame) -> DataFrame:
-        rows = over_all_cores(distinct_kmers, "kmer").select("kmer", kmers(F.translate("kmer", "U", "T"), self.q).alias("grams"))
-        rows = rows.select("kmer", F.array(*[F.size(F.filter("grams", _equals(x))).cast("double") for x in self.grams]).alias("counts"))
-        return rows.select("kmer", normalised(F.col("counts")).cast("array<float>").alias("embedding"))
+        q, step = self.q, max(1, COUNTS // 4**self.q)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in bounded(batches, 0):
+                for start in range(0, whole.num_rows, step):
+                    kmer = whole.column(0).slice(start, step)
+                    counts = spectra(kmer, q)
+                    size = np.sqrt((counts * counts).sum(1, keepdims=True).astype(np.float64)) + 1e-30
+                    flat = pa.array((counts / size).astype(np.float32).ravel())
+                    offsets = pa.array(np.arange(0, len(flat) + 1, 4**q, dtype=np.int32))
+                    yield pa.record_batch([kmer, pa.ListArray.from_arrays(offsets, flat)], names=["kmer", "embedding"])
+
+        return over_all_cores(distinct_kmers.select("kmer"), "kmer").mapInArrow(run, "kmer string, embedding array<float>")
 
 
 class OnnxEmbedder:

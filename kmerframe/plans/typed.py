@@ -11,7 +11,7 @@ from kmerframe.operators import reads as R
 from kmerframe.operators.embedding import SpectrumEmbedder
 from kmerframe.plans.reads import K, reads_once
 from kmerframe.plans.registry import query
-from kmerframe.plans.vectors import _GRAMS
+from kmerframe.plans.vectors import _GRAMS, spectrum_places
 from kmerframe.runtime import fanned, table
 
 
@@ -85,7 +85,7 @@ SELECT kmer, i AS gram, round(v[i + 1] / sqrt(list_dot_product(v, v)), 4) AS val
 def rna_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Non-zero places of the 2-gram spectrum of each distinct k-mer of the reads of RNA."""
     kmers = R.windows(typed_reads(spark, sf_dir).where(F.col("kind") == A.RNA), K).select("kmer").distinct()
-    return SpectrumEmbedder(2)(kmers).select("kmer", F.posexplode("embedding").alias("gram", "value")).where("value > 0").select("kmer", F.col("gram").cast("long").alias("gram"), F.round(F.col("value").cast("double"), 4).alias("value"))
+    return spectrum_places(SpectrumEmbedder(2)(kmers))
 
 
 @query("kmer_representative_lookup", f"""

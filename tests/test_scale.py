@@ -1,10 +1,12 @@
 """What a query moves, on tables where moving too much shows."""
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from kmerframe.operators import reads, search
+from kmerframe.operators import embedding, reads, search
+from kmerframe.plans import vectors
 
 
 def shuffled(spark, run) -> int:
@@ -69,3 +71,28 @@ def test_windows_of_symbols_of_several_bytes(spark):
     assert got == {(i, j, x[j : j + 3]) for i, x in texts.items() for j in range(len(x) - 2)}
     raw = reads.windows(df.where(F.col("seq_id") == 1), 3)
     assert dict(raw.dtypes) == {"seq_id": "bigint", "off": "int", "kmer": "string"}
+
+
+def test_spectra_of_odd_texts():
+    texts = ["ACGU", None, "", "A", "AANAA", "acGT", "TÑUT", "日AC", "GTGTG"]
+    for q in (1, 2, 3):
+        grams = embedding.SpectrumEmbedder(q).grams
+        want = [[sum((x or "").replace("U", "T")[i : i + q] == g for i in range(len(x or ""))) for g in grams] for x in texts]
+        assert embedding.spectra(pa.array(texts, pa.string()), q).tolist() == want
+        assert embedding.spectra(pa.array(texts, pa.string()).slice(4, 3), q).tolist() == want[4:7]
+    assert embedding.spectra(pa.array([None, ""], pa.string()), 2).sum() == 0
+
+
+def test_spectrum_values_are_rounded_as_round_does(spark):
+    values = np.concatenate([np.float32([1 / 32, 3 / 32, 0.5, 1.0, 0.00005, 0.00015]), np.random.default_rng(4).random(5000).astype(np.float32)])
+    df = spark.createDataFrame([(str(i), [float(v)]) for i, v in enumerate(values)], "kmer string, embedding array<float>")
+    want = {r.kmer: r.v for r in df.select("kmer", F.round(F.col("embedding")[0].cast("double"), 4).alias("v")).collect()}
+    assert {r.kmer: r.value for r in vectors.spectrum_places(df).collect()} == want
+
+
+def test_spectra_need_no_interpreted_lambdas(spark, tmp_path):
+    """Lambdas over arrays are interpreted: 16 of them over 15 grams of a k-mer took most of the time of rna_spectrum."""
+    spark.createDataFrame([(1, "ACGUACGUACGUACGUUA", "RNA")], "seq_id long, sequence string, seq_type string").write.parquet(str(tmp_path / "reads.parquet"))
+    df = entry.queries()["rna_spectrum"](spark, str(tmp_path))
+    assert len({r.kmer for r in df.collect()}) == 3
+    assert "lambda" not in df._jdf.queryExecution().optimizedPlan().toString()
